@@ -499,10 +499,10 @@ SQL["stream_clicks"] = domain_counts("click")
 SQL["stream_index"] = HOST_STAT
 SQL["top_domains"] = f"{domain_counts('view')} ORDER BY n DESC, domain LIMIT 3"
 SQL["latency_summary"] = (
-    "SELECT count(*) AS processed_queries, round(avg(round(value, 2)), 6) AS avg_latency FROM events"
+    "SELECT count(*) AS processed_queries, round(avg(CAST(round(value * 100) AS BIGINT)), 6) AS avg_latency FROM events"
 )
 SQL["latency_running_mean"] = """
-SELECT event_id AS query_id, row_number() OVER w AS processed_queries, round(avg(round(value, 2)) OVER w, 6) AS avg_latency
+SELECT event_id AS query_id, row_number() OVER w AS processed_queries, sum(CAST(round(value * 100) AS BIGINT)) OVER w / row_number() OVER w AS avg_latency
 FROM events WINDOW w AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)"""
 SQL["index_totals"] = f"SELECT sum(n_docs) AS docs_in_index, count(*) AS domains_in_index FROM ({HOST_STAT})"
 
@@ -518,7 +518,7 @@ SQL["service_summary"] = f"""
 SELECT sum(n_docs) AS docs_in_index, count(*) AS domains_in_index,
     {top_list(HOST_STAT, 'n_docs')} AS top_domains,
     (SELECT count(*) FROM events) AS processed_queries,
-    (SELECT round(avg(round(value, 2)), 6) FROM events) AS avg_latency,
+    (SELECT round(avg(CAST(round(value * 100) AS BIGINT)), 6) FROM events) AS avg_latency,
     {top_list(domain_counts('view'), 'n')} AS top_showed_domains,
     {top_list(domain_counts('click'), 'n')} AS top_clicked_domains
 FROM ({HOST_STAT})"""

@@ -117,3 +117,13 @@ def field_stats(tokens: DataFrame) -> DataFrame:
     return tokens.groupBy("field").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("field_len").alias("total_len")
     )
+
+
+def stored_field_stats(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same from written tables, without analysing the texts again."""
+    n_docs = docs.agg(F.count(F.lit(1))).scalar()
+    return (
+        postings.groupBy("field")
+        .agg(F.sum("tf").alias("total_len"))
+        .select("field", n_docs.alias("n_docs"), "total_len")
+    )

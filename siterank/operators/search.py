@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siterank.functions import text
+from siterank.functions.snippet import snippet_udf
 from siterank.functions.stemming import stem_tokens
 from siterank.operators.postings import analyzed
 from siterank.operators.skew import rank_by_group, salted_join
@@ -16,8 +17,6 @@ from siterank.schemas import SEARCH_FIELDS
 # Fixed values of the ranking formula.
 BM25_K1 = 1.2
 BM25_B = 0.75
-# Fixed value: longest snippet in characters.
-SNIPPET_CHARS = 150
 
 
 def valid_queries(queries: DataFrame, raw: str = "raw") -> DataFrame:
@@ -41,16 +40,18 @@ def clause_tokens(
     fields: dict[str, bool] = SEARCH_FIELDS,
     stem: bool = True,
 ) -> DataFrame:
-    """``(query_id, seq, field, i, term, n_tokens, weight)`` of fielded, boosted clauses.
+    """``(query_id, clause, field, i, term, n_tokens, weight)`` of fielded, boosted clauses.
 
-    Repeated clauses of a query add up their boosts.  A text of several tokens is a
+    ``clause`` numbers the clauses of a query.  Repeated clauses of a query add up their boosts.  A text of several tokens is a
     phrase: token ``i`` must stand ``i`` places after the first.
     """
+    field_number = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
     merged = (
         expand_default_fields(clauses, list(fields))
         .groupBy("query_id", "field", "text")
         .agg(F.min("seq").alias("seq"), F.sum("boost").alias("weight"))
         .withColumn("tokens", analyzed("text", stemmed=False))
+        .withColumn("clause", F.col("seq").cast("bigint") * len(fields) + field_number)
     )
     stemmed_fields = [f for f, stemmed in fields.items() if stemmed and stem]
     if stemmed_fields:
@@ -62,7 +63,7 @@ def clause_tokens(
         )
     return merged.select(
         "query_id",
-        "seq",
+        "clause",
         "field",
         F.size(F.array_compact("tokens")).alias("n_tokens"),
         "weight",
@@ -76,11 +77,11 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
 
 
 def weigh_clauses(tokens: DataFrame, terms: DataFrame, fields: DataFrame) -> DataFrame:
-    """Add the idf of the whole clause and the mean field length to its tokens.
+    """``(query_id, clause, field, i, term, n_tokens, gain, mean_len)``.
 
-    ``terms`` holds ``(field, term, df)``, ``fields`` one ``(field, n_docs,
-    total_len)`` row per searched field.  Clauses with a token that occurs nowhere
-    drop out.
+    ``gain`` is boost times idf of the whole clause, as BM25 uses it.  ``terms``
+    holds ``(field, term, df)``, ``fields`` one ``(field, n_docs, total_len)`` row
+    per searched field.  Clauses with a token that occurs nowhere drop out.
     """
     n, df = F.col("n_docs"), F.col("df")
     per_token = (
@@ -88,16 +89,17 @@ def weigh_clauses(tokens: DataFrame, terms: DataFrame, fields: DataFrame) -> Dat
         .join(F.broadcast(fields), "field")  # one row per searched field
         .withColumn("idf", F.ln(1 + (n - df + 0.5) / (df + 0.5)))
     )
-    clause = ["query_id", "seq", "field", "n_tokens", "weight"]
     return (
-        per_token.groupBy(*clause)
+        per_token.groupBy("query_id", "clause")
         .agg(
-            F.sum("idf").alias("idf"),
+            F.any_value("field").alias("field"),
+            F.any_value("n_tokens").alias("n_tokens"),
+            (F.any_value("weight") * F.sum("idf") * (BM25_K1 + 1)).alias("gain"),
             F.any_value(F.col("total_len") / n).alias("mean_len"),
             F.collect_list(F.struct("i", "term")).alias("found"),
         )
         .filter(F.size("found") == F.col("n_tokens"))
-        .select(*clause, "idf", "mean_len", F.inline("found"))
+        .select("query_id", "clause", "field", "n_tokens", "gain", "mean_len", F.inline("found"))
     )
 
 
@@ -109,13 +111,14 @@ def match_clauses(
     phrases: bool = True,
     **skew,
 ) -> DataFrame:
-    """Occurrences ``freq`` of every clause in every document, one row each.
+    """``(query_id, key, clause, freq, gain, norm)``: matches of clauses in documents.
 
     Frequent terms are split by document (``terms`` tells how frequent); all
     later steps work on the rows of one query and document and share one shuffle.
     """
     if not phrases:
         weighed = weighed.filter("n_tokens = 1")
+    length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
     joined = salted_join(
         postings,
         weighed,
@@ -123,41 +126,45 @@ def match_clauses(
         [key],
         counts=terms.select("field", "term", F.col("df").alias("n")),
         **skew,
-    )
-    whole = F.struct(F.lit(-1).cast("bigint").alias("base"), F.col("tf").alias("found"))
-    if phrases:
-        # A phrase starts where all of its tokens agree on the place of the first.
-        starts = F.transform(
-            "positions",
-            lambda p: F.struct(
-                (p - F.col("i")).cast("bigint").alias("base"),
-                F.lit(1).cast("bigint").alias("found"),
-            ),
-        )
-        joined = joined.select(
-            "*", F.inline(F.when(F.col("n_tokens") == 1, F.array(whole)).otherwise(starts))
-        )
-    else:
-        joined = joined.select("*", F.inline(F.array(whole)))
-    clause = ["query_id", key, "seq", "field"]
-    facts = ["n_tokens", "weight", "idf", "mean_len", "field_len"]
+    ).withColumn("norm", BM25_K1 * length)
+    clause, facts = ["query_id", key, "clause"], ["gain", "norm"]
     kept = [F.any_value(c).alias(c) for c in facts]
+    if not phrases:
+        # The chunks of a very long document add up.
+        hits = joined.select(*clause, *facts, "tf").repartition("query_id", key)
+        return hits.groupBy(*clause).agg(F.sum("tf").alias("freq"), *kept)
+    # A phrase starts where all of its tokens agree on the place of the first.
+    whole = F.struct(F.lit(-1).cast("bigint").alias("base"), F.col("tf").alias("found"))
+    starts = F.transform(
+        "positions",
+        lambda p: F.struct(
+            (p - F.col("i")).cast("bigint").alias("base"),
+            F.lit(1).cast("bigint").alias("found"),
+        ),
+    )
+    is_term = F.col("n_tokens") == 1
     return (
-        joined.select(*clause, *facts, "base", "found")
+        joined.select(
+            *clause, *facts, "n_tokens", F.inline(F.when(is_term, F.array(whole)).otherwise(starts))
+        )
         .repartition("query_id", key)
         .groupBy(*clause, "base")
-        .agg(F.sum("found").alias("found"), F.count(F.lit(1)).alias("tokens_found"), *kept)
-        .filter((F.col("n_tokens") == 1) | (F.col("tokens_found") == F.col("n_tokens")))
+        .agg(
+            F.sum("found").alias("found"),
+            F.count(F.lit(1)).alias("tokens_found"),
+            F.any_value("n_tokens").alias("n_tokens"),
+            *kept,
+        )
+        .filter(is_term | (F.col("tokens_found") == F.col("n_tokens")))
         .groupBy(*clause)
-        .agg(F.sum(F.when(F.col("n_tokens") == 1, F.col("found")).otherwise(1)).alias("freq"), *kept)
+        .agg(F.sum(F.when(is_term, F.col("found")).otherwise(1)).alias("freq"), *kept)
     )
 
 
 def bm25(matches: DataFrame, key: str = "doc_key") -> DataFrame:
     """``(query_id, key, score)``: boosted BM25, summed over the clauses."""
-    length = F.lit(1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
     freq = F.col("freq")
-    part = F.col("weight") * F.col("idf") * freq * (BM25_K1 + 1) / (freq + BM25_K1 * length)
+    part = F.col("gain") * freq / (freq + F.col("norm"))
     return matches.groupBy("query_id", key).agg(F.round(F.sum(part), 9).alias("score"))
 
 
@@ -193,109 +200,11 @@ def snippet_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
         tokens.join(terms, ["field", "term"])
         .groupBy("query_id", "field")
         .agg(
-            F.map_from_entries(
-                F.array_distinct(F.collect_list(F.struct("term", 1 / (1 + F.col("df")))))
-            ).alias("terms")
+            F.collect_set(F.struct("term", (1 / (1 + F.col("df"))).alias("weight"))).alias("terms")
         )
     )
 
 
-def _escape(c: Column) -> Column:
-    # The characters HTML reserves.
-    for char, entity in {
-        "&": "&amp;",
-        "<": "&lt;",
-        ">": "&gt;",
-        '"': "&quot;",
-        "'": "&#x27;",
-    }.items():
-        c = F.replace(c, F.lit(char), F.lit(entity))
-    return c
-
-
-def _marked_pieces(pieces: str, forms: str, terms: str) -> Column:
-    """Tokens and gaps of a text with the weight of the query terms among them."""
-    return F.transform(
-        F.arrays_zip(F.col(pieces).alias("piece"), F.col(forms).alias("form")),
-        lambda p: F.struct(
-            p["piece"].alias("piece"),
-            p["piece"].rlike(text.ALNUM_RUN).alias("is_token"),
-            F.coalesce(F.try_element_at(F.col(terms), p["form"]), F.lit(0.0)).alias("weight"),
-        ),
-    )
-
-
-def _best_stretch(marked: str, max_chars: int) -> Column:
-    """``struct<best_first, best_last>``: place of the best stretch, null without a match."""
-
-    def step(acc: Column, p: Column) -> Column:
-        end = acc["offset"] + F.length(p["piece"])
-        fresh = acc["first"].isNull() | (end - acc["start"] > max_chars)
-        weight = F.when(fresh, p["weight"]).otherwise(acc["weight"] + p["weight"])
-        first = F.when(fresh, acc["i"]).otherwise(acc["first"])
-        better = p["is_token"] & (weight > acc["best_weight"])
-        # The winning stretch also takes in the tokens that follow within its limit.
-        taken = better | (p["is_token"] & (first == acc["best_first"]))
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            end.alias("offset"),
-            F.when(p["is_token"] & fresh, acc["offset"]).otherwise(acc["start"]).alias("start"),
-            F.when(p["is_token"], first).otherwise(acc["first"]).alias("first"),
-            F.when(p["is_token"], weight).otherwise(acc["weight"]).alias("weight"),
-            F.when(better, weight).otherwise(acc["best_weight"]).alias("best_weight"),
-            F.when(taken, first).otherwise(acc["best_first"]).alias("best_first"),
-            F.when(taken, acc["i"]).otherwise(acc["best_last"]).alias("best_last"),
-        )
-
-    nowhere = F.lit(None).cast("int")
-    start = F.struct(
-        F.lit(1).alias("i"),
-        F.lit(0).alias("offset"),
-        F.lit(0).alias("start"),
-        nowhere.alias("first"),
-        F.lit(0.0).alias("weight"),
-        F.lit(0.0).alias("best_weight"),
-        nowhere.alias("best_first"),
-        nowhere.alias("best_last"),
-    )
-    return F.aggregate(marked, start, step)
-
-
-def with_snippet(
-    df: DataFrame,
-    body: str,
-    terms: str,
-    stemmed: bool,
-    name: str = "snippet",
-    max_chars: int = SNIPPET_CHARS,
-) -> DataFrame:
-    """Best stretch of a text with the terms in ``<b>``, HTML-escaped; '' without a match.
-
-    The text is cut at token borders into stretches of at most ``max_chars``; the
-    one with the largest weight of terms wins, the earliest of equals.
-    """
-    pieces = F.regexp_extract_all(
-        F.coalesce(body, F.lit("")), F.lit(r"[\p{L}\p{N}]+|[^\p{L}\p{N}]+"), F.lit(0)
-    )
-    forms = F.transform("_pieces", lambda p: F.lower(p))
-    html = F.transform(
-        F.slice(
-            "_marked", F.col("_best.best_first"), F.col("_best.best_last") - F.col("_best.best_first") + 1
-        ),
-        lambda p: F.when(
-            p["weight"] > 0, F.concat(F.lit("<b>"), _escape(p["piece"]), F.lit("</b>"))
-        ).otherwise(_escape(p["piece"])),
-    )
-    return (
-        df.withColumn("_pieces", pieces)
-        .withColumn("_forms", stem_tokens(forms) if stemmed else forms)
-        .withColumn("_marked", _marked_pieces("_pieces", "_forms", terms))
-        .withColumn("_best", _best_stretch("_marked", max_chars))
-        .withColumn(name, F.coalesce(F.array_join(html, ""), F.lit("")))
-        .drop("_pieces", "_forms", "_marked", "_best")
-    )
-
-
 def snippets(
     hits: DataFrame, terms: DataFrame, fields: dict[str, bool] = SEARCH_FIELDS, stem: bool = True
 ) -> DataFrame:
@@ -304,8 +213,8 @@ def snippets(
         of_field = terms.filter(F.col("field") == field).select(
             "query_id", F.col("terms").alias(f"_{field}_terms")
         )
-        hits = hits.join(of_field, "query_id", "left")
-        hits = with_snippet(hits, field, f"_{field}_terms", stem and fields[field], f"_{field}_snippet")
+        best = snippet_udf(stem and fields[field])(field, f"_{field}_terms")
+        hits = hits.join(of_field, "query_id", "left").withColumn(f"_{field}_snippet", best)
     return hits.withColumn(
         "snippet", F.coalesce(F.nullif("_content_snippet", F.lit("")), "_code_snippet")
     ).drop("_content_terms", "_code_terms", "_content_snippet", "_code_snippet")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siterank.operators.linkgraph import feature_stats
 from siterank.operators.skew import rank_by_group, salted_join
 from siterank.schemas import IMPORTANCE_FEATURES, NORMALIZED_FEATURES
+from siterank.session import materialize
 
 
 def in_out_ratio(num_in: str = "num_in_urls", num_out: str = "out_links_len") -> Column:
@@ -30,7 +31,8 @@ def zscores(
     The statistics are aggregated before the shuffle and joined back; a group with
     very many rows is split over tasks, its one row of statistics repeated.
     """
-    stats = feature_stats(df, by, features)
+    # One row per group, written so that its true size decides how it is joined.
+    stats = materialize(feature_stats(df, by, features))
     joined = salted_join(
         df, stats.drop("n"), by, spread, counts=stats.select(*by, "n"), **skew
     )

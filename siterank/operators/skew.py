@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siterank.session import materialize
+from siterank.session import broadcast_limit, estimated_bytes, materialize
 
 # A key is heavy when it holds more than this share of the rows, so there are
 # never more than 1 / HEAVY_SHARE heavy keys: safe to broadcast at any scale.
@@ -49,19 +49,25 @@ def salted_join(
     n: str = "n",
     share: float = HEAVY_SHARE,
     min_rows: int = HEAVY_ROWS,
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Equi-join of ``big`` (skewed on ``keys``) with ``small``.
 
-    Rows of a heavy key are split by a hash of ``spread`` and the matching rows of
-    ``small`` are repeated once per share.  ``counts`` is a ``(keys, n)`` table of
-    the rows of ``big`` per key, if the caller has one already.  Neither side is
-    hinted: Spark still broadcasts ``small`` when its size allows.  ``how`` must
-    keep the rows of ``small`` only where they match (inner, left, semi, anti).
+    If ``small`` is known to be within the broadcast limit of the session (or
+    ``broadcast_bytes``), it is broadcast and ``big`` stays where it is.  Otherwise
+    the rows of a heavy key are split by a hash of ``spread`` and the matching rows
+    of ``small`` are repeated once per share.  ``counts`` is a ``(keys, n)`` table of
+    the rows of ``big`` per key, if the caller has one already.  ``how`` must keep
+    the rows of ``small`` only where they match (inner, left, semi, anti).
     """
     keys = list(keys)
+    limit = broadcast_limit(big.sparkSession) if broadcast_bytes is None else broadcast_bytes
+    if estimated_bytes(small) <= limit:
+        return big.join(F.broadcast(small), keys, how)
     if counts is None:
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
-    heavy = F.broadcast(heavy_keys(counts, keys, n, share, min_rows))
+    # At most 1 / share rows, see heavy_keys; written first so that it is found once.
+    heavy = F.broadcast(materialize(heavy_keys(counts, keys, n, share, min_rows)))
     shares = F.coalesce("_shares", F.lit(1))
     # Null keys match nothing: scatter them instead of sending them to one task.
     no_key = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
@@ -86,28 +92,30 @@ def rank_by_group(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
-    n: int | Column,
+    n: int,
     spread: Sequence[str],
     rank: str = "rank",
     shares: int = RANK_SHARES,
 ) -> DataFrame:
     """The first ``n`` rows of every group with their rank, exactly.
 
-    A group is ranked in shares first and only the winners of the shares meet in
-    one task, so no task sees more than ``shares * n`` rows of a group.  ``order``
-    must end in a unique key and ``spread`` should tell the rows of a group apart.
+    Up to the window group limit of the session, Spark itself drops all but ``n``
+    rows of a group in every task before the shuffle.  Beyond it a group is ranked
+    in shares first and only the winners of the shares meet in one task, so no task
+    sees more than ``shares * n`` rows of a group.  ``order`` must end in a unique
+    key and ``spread`` should tell the rows of a group apart.
     """
-    share = F.pmod(F.xxhash64(*spread), F.lit(shares))
-    in_share = Window.partitionBy(*by, "_share").orderBy(*order)
     in_group = Window.partitionBy(*by).orderBy(*order)
-    return (
-        df.withColumn("_share", share)
-        .withColumn(rank, F.row_number().over(in_share))
-        .filter(F.col(rank) <= n)
-        .drop("_share")
-        .withColumn(rank, F.row_number().over(in_group))
-        .filter(F.col(rank) <= n)
-    )
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if n > limit:
+        in_share = Window.partitionBy(*by, "_share").orderBy(*order)
+        df = (
+            df.withColumn("_share", F.pmod(F.xxhash64(*spread), F.lit(shares)))
+            .withColumn(rank, F.row_number().over(in_share))
+            .filter(F.col(rank) <= n)
+            .drop("_share", rank)
+        )
+    return df.withColumn(rank, F.row_number().over(in_group)).filter(F.col(rank) <= n)
 
 
 def running_sums(

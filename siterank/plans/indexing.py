@@ -57,24 +57,19 @@ def link_texts(selected: DataFrame, crawl: DataFrame) -> DataFrame:
     ).select("doc_key", "src_url", "ord", "text")
 
 
-def posting_tables(
+def posting_rows(
     docs: DataFrame, anchors: DataFrame | None = None, stem: bool = True
-) -> tuple[DataFrame, DataFrame]:
-    """``(postings, field statistics)`` of search documents and their anchor texts."""
+) -> DataFrame:
+    """Postings of search documents and, in ``links_texts``, of the anchors that name them."""
     own_fields = {f: s for f, s in SEARCH_FIELDS.items() if f != "links_texts"}
     tokens = postings.field_tokens(docs, own_fields, stem=stem)
     rows = postings.build_postings(postings.token_rows(tokens))
-    stats = postings.field_stats(tokens)
     if anchors is None:
-        return rows, stats
+        return rows
     anchor_rows = materialize(postings.link_tokens(anchors, stem=stem))
-    lengths = postings.link_lengths(anchor_rows)
+    lengths = materialize(postings.link_lengths(anchor_rows))
     anchor_postings = postings.with_link_lengths(postings.build_postings(anchor_rows), lengths)
-    n_docs = docs.agg(F.count(F.lit(1))).scalar()
-    anchor_stats = anchor_rows.agg(F.count(F.lit(1)).alias("total_len")).select(
-        F.lit("links_texts").alias("field"), n_docs.alias("n_docs"), "total_len"
-    )
-    return rows.unionByName(anchor_postings), stats.unionByName(anchor_stats)
+    return rows.unionByName(anchor_postings)
 
 
 def index_crawl(
@@ -85,11 +80,13 @@ def index_crawl(
     selected = materialize(with_doc_key(select_pages(crawl, n, **options), run))
     index_tables.write_search_docs(features.with_bodies(selected, crawl), index_path, run)
     docs = spark.read.parquet(index_tables.run_path(index_path, "search_docs", run))
-    rows, fields = posting_tables(docs, link_texts(selected, crawl), stem)
+    rows = posting_rows(docs, link_texts(selected, crawl), stem)
     index_tables.write_postings(rows, index_path, run)
     written = spark.read.parquet(index_tables.run_path(index_path, "postings", run))
     index_tables.write_stats(postings.term_stats(written), index_path, "term_stats", run)
-    index_tables.write_stats(fields, index_path, "field_stats", run)
+    index_tables.write_stats(
+        postings.stored_field_stats(written, docs), index_path, "field_stats", run
+    )
     write_index_stat(
         linkgraph.index_stat(selected), index_tables.run_path(index_path, "index_stat", run)
     )

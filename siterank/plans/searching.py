@@ -19,7 +19,8 @@ def scores(
 ) -> DataFrame:
     """BM25 of materialized clause tokens against an index."""
     terms = materialize(index.terms.join(search.vocabulary(tokens), ["field", "term"]))
-    weighed = search.weigh_clauses(tokens, terms, index.fields)
+    # Written so that its true size decides whether the postings have to move.
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
     matches = search.match_clauses(weighed, index.postings, terms, key, phrases, **skew)
     return search.bm25(matches, key)
 
@@ -30,18 +31,28 @@ def index_of(
     fields: dict[str, bool] = SEARCH_FIELDS,
     key: str = "doc_key",
     stem: bool = True,
+    phrases: bool = True,
 ) -> SearchIndex:
-    """A one-off index of ``docs``, limited to the terms the clauses ask for."""
-    analysed = postings_ops.field_tokens(docs, fields, key, stem)
-    asked = postings_ops.token_rows(analysed, key).join(
-        search.vocabulary(tokens), ["field", "term"], "left_semi"
+    """A one-off index of ``docs``, limited to the terms the clauses ask for.
+
+    The texts are read and analysed once: an empty token before every text, which
+    no clause asks for, brings the lengths of all documents along.
+    """
+    no_term = F.lit("")
+    analysed = postings_ops.field_tokens(docs, fields, key, stem).withColumn(
+        "tokens", F.concat(F.array(no_term), "tokens")
     )
-    rows = materialize(postings_ops.build_postings(asked, key))
+    terms = search.vocabulary(tokens)
+    wanted = terms.unionByName(terms.select("field", no_term.alias("term")).distinct())
+    asked = postings_ops.token_rows(analysed, key).join(wanted, ["field", "term"], "left_semi")
+    rows = postings_ops.build_postings(asked, key)
+    rows = materialize(rows if phrases else rows.drop("positions"))
+    found = rows.filter(F.col("term") != no_term)
     return SearchIndex(
         docs=docs,
-        postings=rows,
-        terms=postings_ops.term_stats(rows, key),
-        fields=postings_ops.field_stats(analysed),
+        postings=found,
+        terms=postings_ops.term_stats(found, key),
+        fields=postings_ops.field_stats(rows.filter(F.col("term") == no_term)),
     )
 
 
@@ -62,7 +73,9 @@ def rendered(
 ) -> DataFrame:
     """Hits with snippets, which are made for these hits only."""
     terms = index.terms.join(search.vocabulary(tokens), ["field", "term"])
-    bodies = search.with_columns_of(materialize(found), index.docs, ["content", "code"], key)
+    bodies = materialize(
+        search.with_columns_of(materialize(found), index.docs, ["content", "code"], key)
+    )
     return search.render_hits(
         search.snippets(bodies, search.snippet_terms(tokens, terms), stem=stem)
     )

@@ -48,6 +48,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def broadcast_limit(spark: SparkSession) -> int:
+    """Largest table in bytes that the session broadcasts, -1 for none."""
+    jconf = spark._jsparkSession.sessionState().conf()
+    return jconf.autoBroadcastJoinThreshold()
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate; for a materialized table it is the size of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder.
 
