@@ -471,7 +471,7 @@ parts AS (
 ), clauses AS (
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pos, kind, k, site, j) - 1 AS seq, field, text, boost FROM parts
 )"""
-SQL["query_clauses"] = f"WITH {EXPANDED} SELECT query_id, seq, field, text, boost FROM clauses"
+SQL["query_clauses"] = f"WITH {EXPANDED} SELECT query_id, seq, field, text, CAST(boost AS DOUBLE) AS boost FROM clauses"
 SQL["query_expand"] = f"""
 WITH {EXPANDED}, rendered AS (
     SELECT query_id, string_agg(CASE WHEN field IS NULL THEN text
@@ -496,7 +496,9 @@ def domain_counts(kind: str) -> str:
 SQL["impressions_by_domain"] = domain_counts("view")
 SQL["clicks_by_domain"] = domain_counts("click")
 SQL["stream_clicks"] = domain_counts("click")
-SQL["stream_index"] = HOST_STAT
+# Pages with the same canonical URL are one document.
+SQL["stream_index"] = f"""
+SELECT {netloc('url')} AS domain, count(DISTINCT {canonical('url')}) AS n_docs FROM pages GROUP BY domain"""
 SQL["top_domains"] = f"{domain_counts('view')} ORDER BY n DESC, domain LIMIT 3"
 SQL["latency_summary"] = (
     "SELECT count(*) AS processed_queries, round(avg(CAST(round(value * 100) AS BIGINT)), 6) AS avg_latency FROM events"

@@ -31,9 +31,13 @@ def best_snippet(
     one with the largest weight of terms wins, the earliest of equals.
     """
     best, current, start, score = (0.0, 0, []), [], None, 0.0
+    seen: dict[str, float] = {}
     for match in TOKEN.finditer(text):
-        form = match.group().lower()
-        weight = weights.get(stem(form) if stemmed else form, 0.0)
+        word = match.group()
+        weight = seen.get(word)
+        if weight is None:
+            form = word.lower()
+            weight = seen[word] = weights.get(stem(form) if stemmed else form, 0.0)
         if start is None or match.end() - start > max_chars:
             start, score, current = match.start(), 0.0, []
         current.append((match.start(), match.end(), weight > 0))

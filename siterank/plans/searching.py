@@ -74,7 +74,8 @@ def rendered(
     """Hits with snippets, which are made for these hits only."""
     terms = index.terms.join(search.vocabulary(tokens), ["field", "term"])
     bodies = materialize(
-        search.with_columns_of(materialize(found), index.docs, ["content", "code"], key)
+        search.with_columns_of(materialize(found), index.docs, ["content", "code"], key),
+        spread_by=key,
     )
     return search.render_hits(
         search.snippets(bodies, search.snippet_terms(tokens, terms), stem=stem)
@@ -95,10 +96,10 @@ def run_search(
     )
     tokens = materialize(search.clause_tokens(clauses, stem=stem))
     found = hits(tokens, index, n)
-    shown = rendered(found, tokens, index, stem=stem).withColumnRenamed("query_id", "_asked")
+    shown = materialize(rendered(found, tokens, index, stem=stem))
     return salted_join(
         asked.select("query_id", F.xxhash64("raw").alias("_asked")),
-        shown,
+        shown.withColumnRenamed("query_id", "_asked"),
         ["_asked"],
         ["query_id"],
     ).drop("_asked")

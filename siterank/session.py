@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siterank.sources.tables import read_parquet
+
 
 def build_session(app_name: str = "siterank", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings the plans of this package are written for."""
@@ -59,7 +61,7 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, spread_by: str | None = None) -> DataFrame:
     """Compute ``df`` once, as a table in the shared folder.
 
     The lineage ends there, lost executors cost nothing, and Spark knows the true
@@ -67,4 +69,4 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return read_parquet(df.sparkSession, path, spread_by, df.schema)
