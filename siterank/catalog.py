@@ -419,6 +419,65 @@ def selected_pages(spark, sf):
     )
 
 
+def document_crawl(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as crawl records: a source is a site, every page links to two others."""
+
+    def page(doc_id):
+        return F.concat(F.lit("https://"), "source", F.lit(".example.org/docs/"), doc_id.cast("string"))
+
+    doc = F.col("doc_id")
+    half, root = page(doc - doc % 40 + doc % 20), page(doc % 20)
+    one, two = F.struct(half, F.array("lang")), F.struct(root, F.array(F.lit("home"), "lang"))
+    return table(spark, sf, "documents").select(
+        F.col("source").alias("crawl_file"),
+        F.col("source").alias("crawl_domain"),
+        doc.alias("ord"),
+        doc.alias("date"),
+        page(doc).alias("url"),
+        first_line().alias("title"),
+        F.col("text").alias("content"),
+        F.filter(F.split("text", "\n"), lambda line: line.contains("(")).alias("code_snippets"),
+        F.map_from_entries(F.when(half == root, F.array(two)).otherwise(F.array(one, two))).alias("out_links"),
+    )
+
+
+@query
+def selected_documents(spark, sf):
+    """The whole selection over the documents: in-links, z-scores, top 25 per source."""
+    scored = indexing.scored_pages(
+        document_crawl(spark, sf), ["docs", *TITLE_KEYWORDS], ["content_len", "num_in_urls"]
+    ).withColumn("importance", F.round("importance", 9))
+    return selection.top_n(scored, 25).select(
+        "crawl_file",
+        "rank",
+        "url",
+        "term_in_url",
+        "term_in_title",
+        "content_len",
+        "code_len",
+        "out_links_len",
+        "num_in_urls",
+        "in_out_ratio",
+        F.round("importance", 6).alias("importance"),
+    )
+
+
+def index_documents(spark: SparkSession, sf: str) -> str:
+    """Documents to a stored search index; returns its path."""
+    path = scratch_path(spark, "index")
+    indexing.index_crawl(
+        document_crawl(spark, sf), path, "all", importance_features=["content_len", "num_in_urls"]
+    )
+    return path
+
+
+@query
+def indexed_document_stats(spark, sf):
+    """Document frequencies of the anchor texts in a stored index of all documents."""
+    index = index_source.read_index(spark, index_documents(spark, sf))
+    return index.terms.filter("field = 'links_texts'").select("term", "df")
+
+
 # --- postings and search -----------------------------------------------------
 
 TEXT_FIELD = {"text": False}

@@ -321,6 +321,47 @@ SELECT crawl_file, row_number() OVER (PARTITION BY crawl_file ORDER BY importanc
 FROM rated QUALIFY rank <= 3"""
 
 
+def doc_url(i: str) -> str:
+    return f"'https://' || source || '.example.org/docs/' || CAST({i} AS VARCHAR)"
+
+
+LANGUAGE_CODE = f"array_to_string(list_transform(list_filter(string_split(text, chr(10)), lambda l: contains(l, '(')), lambda l: {strip('l')}), chr(10))"
+DOCUMENT_LINKS = f"""
+doc_links AS (
+    SELECT DISTINCT doc_id, source, lang, {doc_url('doc_id')} AS url, unnest([{doc_url('(doc_id - doc_id % 40 + doc_id % 20)')}, {doc_url('(doc_id % 20)')}]) AS dst
+    FROM documents
+)"""
+SQL["selected_documents"] = f"""
+WITH {DOCUMENT_LINKS}, degrees AS (SELECT source, dst, count(*) AS n FROM doc_links GROUP BY source, dst),
+outs AS (SELECT doc_id, count(*) AS out_links_len FROM doc_links GROUP BY doc_id),
+linked AS (
+    SELECT d.source AS crawl_file, {doc_url('d.doc_id').replace('source', 'd.source')} AS url, 1 AS term_in_url,
+        len(list_distinct(list_filter({words("lower(string_split(text, chr(10))[1])")},
+            lambda w: w IN ('docs', 'the', 'and', 'de', 'der', 'la')))) AS term_in_title,
+        len({words('text')}) AS content_len, len({words(LANGUAGE_CODE)}) AS code_len, out_links_len, coalesce(n, 0) AS num_in_urls
+    FROM documents d JOIN outs o ON o.doc_id = d.doc_id
+    LEFT JOIN degrees g ON g.source = d.source AND g.dst = {doc_url('d.doc_id').replace('source', 'd.source')}
+), rated AS (
+    SELECT *, (num_in_urls + 1) // (out_links_len + 1) AS in_out_ratio,
+        round((content_len - avg(content_len) OVER w) / nullif(stddev_samp(content_len) OVER w, 0)
+            + (num_in_urls - avg(num_in_urls) OVER w) / nullif(stddev_samp(num_in_urls) OVER w, 0), 9) AS importance
+    FROM linked WINDOW w AS (PARTITION BY crawl_file)
+)
+SELECT crawl_file, row_number() OVER (PARTITION BY crawl_file ORDER BY importance DESC NULLS LAST, url) AS rank, url,
+    term_in_url, term_in_title, content_len, code_len, out_links_len, num_in_urls, in_out_ratio,
+    round(importance, 6) AS importance
+FROM rated QUALIFY rank <= 25"""
+# The anchor texts are the language codes, in English stems, and the word "home".
+SQL["indexed_document_stats"] = f"""
+WITH {DOCUMENT_LINKS}, words AS (
+    SELECT source, dst, lang AS term FROM doc_links
+    UNION ALL SELECT source, dst, 'home' FROM doc_links WHERE dst = {doc_url('(doc_id % 20)')}
+)
+SELECT term, count(DISTINCT w.dst) AS df
+FROM words w JOIN documents d ON w.dst = {doc_url('d.doc_id').replace('source', 'd.source')} AND w.source = d.source
+GROUP BY term"""
+
+
 def token_table(source: str, key: str, column: str) -> str:
     """One row per token; the position counts tokens of 40 bytes or more as well."""
     return f"""(
