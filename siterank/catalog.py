@@ -489,7 +489,7 @@ def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def document_postings(spark, sf):
-    rows = postings.build_postings(postings.token_rows(document_tokens(spark, sf), "doc_id"), "doc_id")
+    rows = postings.document_postings(document_tokens(spark, sf), "doc_id")
     return rows.select(
         "doc_id", "term", "chunk", "tf", F.array_join("positions", " ").alias("positions"), "field_len"
     )
@@ -497,8 +497,8 @@ def document_postings(spark, sf):
 
 @query
 def postings_stats(spark, sf):
-    rows = postings.build_postings(postings.token_rows(document_tokens(spark, sf), "doc_id"), "doc_id")
-    return postings.term_stats(rows, "doc_id").select("term", "df")
+    rows = postings.document_postings(document_tokens(spark, sf), "doc_id")
+    return postings.term_stats(rows).select("term", "df")
 
 
 @query

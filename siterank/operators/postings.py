@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siterank.functions import text
@@ -41,10 +41,58 @@ def field_tokens(
     )
 
 
-def token_rows(tokens: DataFrame, key: str = "doc_key") -> DataFrame:
-    """``(key, field, term, pos, field_len)``: one row per token."""
-    return tokens.select(key, "field", "field_len", F.posexplode("tokens").alias("pos", "term")).filter(
-        "term is not null"
+def document_postings(
+    tokens: DataFrame,
+    key: str = "doc_key",
+    chunk_tokens: int = CHUNK_TOKENS,
+    with_lengths: bool = False,
+) -> DataFrame:
+    """``(key, field, field_len, term, chunk, is_first, tf, positions)`` of ``field_tokens``.
+
+    All tokens of a text are in one row, so its postings are made inside the row by
+    sorting them: no shuffle at all.  ``is_first`` marks one row per document and
+    term.  ``with_lengths`` adds a row with an empty term for every text, so that the
+    lengths of all documents survive a filter by term.
+    """
+    places = F.filter(
+        F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))),
+        lambda e: e["term"].isNotNull(),
+    )
+
+    def starts_run(entry, i):
+        before = F.get("_sorted", i - 1)
+        new_chunk = F.floor(before["pos"] / chunk_tokens) != F.floor(entry["pos"] / chunk_tokens)
+        return F.when((i == 0) | (before["term"] != entry["term"]) | new_chunk, i)
+
+    def run_of(start, j):
+        end = F.coalesce(F.get("_starts", j + 1), F.size("_sorted"))
+        return F.slice("_sorted", start + 1, end - start)
+
+    def posting(run, j):
+        first = F.get(run, F.lit(0))
+        before = F.get("_sorted", F.get("_starts", j) - 1)
+        return F.struct(
+            first["term"].alias("term"),
+            F.floor(first["pos"] / chunk_tokens).cast("int").alias("chunk"),
+            ((j == 0) | (before["term"] != first["term"])).alias("is_first"),
+            F.size(run).cast("bigint").alias("tf"),
+            F.transform(run, lambda e: e["pos"].cast("bigint")).alias("positions"),
+        )
+
+    rows = F.transform(F.transform("_starts", run_of), posting)
+    if with_lengths:
+        text_row = F.struct(
+            F.lit("").alias("term"),
+            F.lit(0).alias("chunk"),
+            F.lit(False).alias("is_first"),
+            F.lit(0).cast("bigint").alias("tf"),
+            F.array().cast("array<bigint>").alias("positions"),
+        )
+        rows = F.concat(F.array(text_row), rows)
+    return (
+        tokens.withColumn("_sorted", F.array_sort(places))
+        .withColumn("_starts", F.array_compact(F.transform("_sorted", starts_run)))
+        .select(key, "field", "field_len", F.inline(rows))
     )
 
 
@@ -72,29 +120,25 @@ def link_tokens(link_texts: DataFrame, key: str = "doc_key", stem: bool = True)
     )
 
 
-def build_postings(
-    rows: DataFrame, key: str = "doc_key", chunk_tokens: int = CHUNK_TOKENS
+def link_postings(
+    rows: DataFrame,
+    lengths: DataFrame,
+    key: str = "doc_key",
+    chunk_tokens: int = CHUNK_TOKENS,
 ) -> DataFrame:
-    """``(field, term, key, chunk, tf, positions[, field_len])`` from token rows.
+    """The same columns from the token rows of anchor texts and their lengths per page.
 
-    All tokens of a text are in one task, so they are combined before the shuffle;
-    the shuffle key holds the document, so a frequent term is not a large group.
+    A page with very many in-links has its positions in chunks of bounded size.
     """
-    length = [F.any_value("field_len").alias("field_len")] if "field_len" in rows.columns else []
-    return (
+    chunks = (
         rows.withColumn("chunk", F.floor(F.col("pos") / chunk_tokens).cast("int"))
         .groupBy("field", "term", key, "chunk")
-        .agg(
-            F.count(F.lit(1)).alias("tf"),
-            F.sort_array(F.collect_list("pos")).alias("positions"),
-            *length,
-        )
+        .agg(F.count(F.lit(1)).alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"))
     )
-
-
-def with_link_lengths(postings: DataFrame, lengths: DataFrame, key: str = "doc_key") -> DataFrame:
-    """Add the length of the anchor texts of a page to its link postings."""
-    return salted_join(postings, lengths, [key], ["term", "chunk"])
+    # One row per chunk: few even for the most linked page.
+    of_page = Window.partitionBy(key, "term")
+    marked = chunks.withColumn("is_first", F.col("chunk") == F.min("chunk").over(of_page))
+    return salted_join(marked, lengths, [key], ["term", "chunk"])
 
 
 def link_lengths(rows: DataFrame, key: str = "doc_key") -> DataFrame:
@@ -102,14 +146,9 @@ def link_lengths(rows: DataFrame, key: str = "doc_key") -> DataFrame:
     return rows.groupBy(key).agg(F.count(F.lit(1)).alias("field_len"))
 
 
-def term_stats(postings: DataFrame, key: str = "doc_key") -> DataFrame:
-    """Document frequency per field and term."""
-    return (
-        postings.select("field", "term", key)
-        .distinct()
-        .groupBy("field", "term")
-        .agg(F.count(F.lit(1)).alias("df"))
-    )
+def term_stats(postings: DataFrame) -> DataFrame:
+    """Document frequency per field and term, counted before the shuffle."""
+    return postings.groupBy("field", "term").agg(F.count_if("is_first").alias("df"))
 
 
 def field_stats(tokens: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from siterank.schemas import DOC_KEYWORDS, IMPORTANCE_FEATURES, SEARCH_FIELDS
 from siterank.session import materialize
 from siterank.sources import index as index_tables
 from siterank.sources.stats import write_index_stat
+from siterank.sources.tables import read_parquet
 
 PAGE = ["crawl_file", "doc_id"]
 
@@ -62,14 +63,12 @@ def posting_rows(
 ) -> DataFrame:
     """Postings of search documents and, in ``links_texts``, of the anchors that name them."""
     own_fields = {f: s for f, s in SEARCH_FIELDS.items() if f != "links_texts"}
-    tokens = postings.field_tokens(docs, own_fields, stem=stem)
-    rows = postings.build_postings(postings.token_rows(tokens))
+    rows = postings.document_postings(postings.field_tokens(docs, own_fields, stem=stem))
     if anchors is None:
         return rows
     anchor_rows = materialize(postings.link_tokens(anchors, stem=stem))
     lengths = materialize(postings.link_lengths(anchor_rows))
-    anchor_postings = postings.with_link_lengths(postings.build_postings(anchor_rows), lengths)
-    return rows.unionByName(anchor_postings)
+    return rows.unionByName(postings.link_postings(anchor_rows, lengths))
 
 
 def index_crawl(
@@ -79,14 +78,12 @@ def index_crawl(
     spark = crawl.sparkSession
     selected = materialize(with_doc_key(select_pages(crawl, n, **options), run))
     index_tables.write_search_docs(features.with_bodies(selected, crawl), index_path, run)
-    docs = spark.read.parquet(index_tables.run_path(index_path, "search_docs", run))
-    rows = posting_rows(docs, link_texts(selected, crawl), stem)
+    docs = read_parquet(spark, index_tables.run_path(index_path, "search_docs", run), "doc_key")
+    # Sorting by range reads its input twice: analyse the texts only once.
+    rows = materialize(posting_rows(docs, link_texts(selected, crawl), stem))
     index_tables.write_postings(rows, index_path, run)
-    written = spark.read.parquet(index_tables.run_path(index_path, "postings", run))
-    index_tables.write_stats(postings.term_stats(written), index_path, "term_stats", run)
-    index_tables.write_stats(
-        postings.stored_field_stats(written, docs), index_path, "field_stats", run
-    )
+    index_tables.write_stats(postings.term_stats(rows), index_path, "term_stats", run)
+    index_tables.write_stats(postings.stored_field_stats(rows, docs), index_path, "field_stats", run)
     write_index_stat(
         linkgraph.index_stat(selected), index_tables.run_path(index_path, "index_stat", run)
     )

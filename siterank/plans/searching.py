@@ -35,23 +35,22 @@ def index_of(
 ) -> SearchIndex:
     """A one-off index of ``docs``, limited to the terms the clauses ask for.
 
-    The texts are read and analysed once: an empty token before every text, which
-    no clause asks for, brings the lengths of all documents along.
+    The texts are read and analysed once: the row with the empty term that every
+    text has, and no clause asks for, brings the lengths of all documents along.
     """
     no_term = F.lit("")
-    analysed = postings_ops.field_tokens(docs, fields, key, stem).withColumn(
-        "tokens", F.concat(F.array(no_term), "tokens")
-    )
+    analysed = postings_ops.field_tokens(docs, fields, key, stem)
+    all_rows = postings_ops.document_postings(analysed, key, with_lengths=True)
     terms = search.vocabulary(tokens)
-    wanted = terms.unionByName(terms.select("field", no_term.alias("term")).distinct())
-    asked = postings_ops.token_rows(analysed, key).join(wanted, ["field", "term"], "left_semi")
-    rows = postings_ops.build_postings(asked, key)
-    rows = materialize(rows if phrases else rows.drop("positions"))
+    every_text = terms.select("field", no_term.alias("term")).distinct()
+    wanted = materialize(terms.unionByName(every_text))
+    asked = salted_join(all_rows, wanted, ["field", "term"], [key], "left_semi")
+    rows = materialize(asked if phrases else asked.drop("positions"))
     found = rows.filter(F.col("term") != no_term)
     return SearchIndex(
         docs=docs,
         postings=found,
-        terms=postings_ops.term_stats(found, key),
+        terms=postings_ops.term_stats(found),
         fields=postings_ops.field_stats(rows.filter(F.col("term") == no_term)),
     )
 

@@ -86,7 +86,7 @@ def test_phrases_and_chunks(spark, docs):
     """A phrase is found wherever the chunks of a long text end."""
     tokens = tokens_of(spark, [(1, "content", "brown fox", 1), (2, "content", "quick quick", 1), (3, "content", "the", 1)])
     analysed = postings.field_tokens(docs, FIELDS, stem=False)
-    rows = materialize(postings.build_postings(postings.token_rows(analysed), chunk_tokens=2))
+    rows = materialize(postings.document_postings(analysed, chunk_tokens=2))
     assert rows.agg(F.max("chunk")).first()[0] > 2
     terms = materialize(postings.term_stats(rows))
     assert terms.filter("field = 'content' and term = 'the'").first().df == 3
@@ -100,8 +100,23 @@ def test_phrases_and_chunks(spark, docs):
 def test_long_tokens_leave_a_gap(spark):
     docs = spark.createDataFrame([(1, f"aa {'x' * 40} bb cc")], "doc_key long, content string")
     analysed = postings.field_tokens(docs, {"content": False}, stem=False)
-    rows = postings.token_rows(analysed).orderBy("pos").collect()
-    assert [(r.pos, r.term, r.field_len) for r in rows] == [(0, "aa", 3), (2, "bb", 3), (3, "cc", 3)]
+    rows = postings.document_postings(analysed).orderBy("term").collect()
+    assert [(r.positions, r.term, r.field_len) for r in rows] == [([0], "aa", 3), ([2], "bb", 3), ([3], "cc", 3)]
+
+
+def test_link_postings_equal_the_postings_of_the_joined_text(spark):
+    texts = {1: ["see docs", "docs", "home docs see"], 2: ["home"], 3: [""]}
+    anchors = spark.createDataFrame(
+        [(k, f"https://x/{i}", i, t) for k, ts in texts.items() for i, t in enumerate(ts)],
+        "doc_key long, src_url string, ord long, text string",
+    ).repartition(3)
+    joined = spark.createDataFrame([(k, " ".join(ts)) for k, ts in texts.items()], "doc_key long, links_texts string")
+    analysed = postings.field_tokens(joined, {"links_texts": True})
+    want = postings.document_postings(analysed, chunk_tokens=3)
+    rows = postings.link_tokens(anchors)
+    got = postings.link_postings(rows, postings.link_lengths(rows), chunk_tokens=3).select(want.columns)
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert {(r.term, r.df) for r in postings.term_stats(want).collect()} == {("see", 1), ("doc", 1), ("home", 2)}
 
 
 def ranked(spark, titles):
