@@ -491,7 +491,7 @@ def document_tokens(spark: SparkSession, sf: str) -> DataFrame:
 def document_postings(spark, sf):
     rows = postings.document_postings(document_tokens(spark, sf), "doc_id")
     return rows.select(
-        "doc_id", "term", "chunk", "tf", F.array_join("positions", " ").alias("positions"), "field_len"
+        "doc_id", "term", "tf", F.array_join("positions", " ").alias("positions"), "field_len"
     )
 
 
@@ -554,7 +554,7 @@ def phrase_match(spark, sf):
     tokens = materialize(search.clause_tokens(clauses, TEXT_FIELD, stem=False))
     index = searching.index_of(table(spark, sf, "documents"), tokens, TEXT_FIELD, "doc_id", stem=False)
     terms = materialize(index.terms)
-    weighed = search.weigh_clauses(tokens, terms, index.fields)
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
     return search.match_clauses(weighed, index.postings, terms, "doc_id").select(
         "query_id", "doc_id", "freq"
     )

@@ -375,9 +375,9 @@ def token_table(source: str, key: str, column: str) -> str:
 DOC_TOKENS = f"doc_tokens AS {token_table('documents', 'doc_id', 'text')}"
 SQL["document_postings"] = f"""
 WITH {DOC_TOKENS}, lengths AS (SELECT doc_id, count(*) AS field_len FROM doc_tokens GROUP BY doc_id)
-SELECT t.doc_id, term, pos // 65536 AS chunk, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions,
+SELECT t.doc_id, term, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ' ' ORDER BY pos) AS positions,
     any_value(field_len) AS field_len
-FROM doc_tokens t JOIN lengths l ON l.doc_id = t.doc_id GROUP BY t.doc_id, term, chunk"""
+FROM doc_tokens t JOIN lengths l ON l.doc_id = t.doc_id GROUP BY t.doc_id, term"""
 SQL["postings_stats"] = f"WITH {DOC_TOKENS} SELECT term, count(DISTINCT doc_id) AS df FROM doc_tokens GROUP BY term"
 SQL["field_stats"] = f"""
 WITH {DOC_TOKENS}, n AS (SELECT count(*) AS n_docs FROM documents), total AS (SELECT count(*) AS total_len FROM doc_tokens)

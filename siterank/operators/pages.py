@@ -158,7 +158,7 @@ def with_links_map(df: DataFrame, links: str, name: str) -> DataFrame:
         run, lambda r: F.struct(F.get(r, F.lit(0))["dst"], F.transform(r, lambda link: link["text"]))
     )
     return (
-        df.withColumn("_sorted", F.array_sort(place))
+        df.withColumn("_sorted", F.sort_array(place))
         .withColumn("_starts", F.array_compact(run_start))
         .withColumn(name, F.map_from_entries(entry))
         .drop("_sorted", "_starts", links)

@@ -41,18 +41,11 @@ def field_tokens(
     )
 
 
-def document_postings(
-    tokens: DataFrame,
-    key: str = "doc_key",
-    chunk_tokens: int = CHUNK_TOKENS,
-    with_lengths: bool = False,
-) -> DataFrame:
-    """``(key, field, field_len, term, chunk, is_first, tf, positions)`` of ``field_tokens``.
+def document_postings(tokens: DataFrame, key: str = "doc_key") -> DataFrame:
+    """``(key, field, field_len, term, tf, positions, chunk, is_first)`` of ``field_tokens``.
 
     All tokens of a text are in one row, so its postings are made inside the row by
-    sorting them: no shuffle at all.  ``is_first`` marks one row per document and
-    term.  ``with_lengths`` adds a row with an empty term for every text, so that the
-    lengths of all documents survive a filter by term.
+    sorting them: no shuffle at all, and no array is longer than the one it is from.
     """
     places = F.filter(
         F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos"))),
@@ -60,39 +53,56 @@ def document_postings(
     )
 
     def starts_run(entry, i):
-        before = F.get("_sorted", i - 1)
-        new_chunk = F.floor(before["pos"] / chunk_tokens) != F.floor(entry["pos"] / chunk_tokens)
-        return F.when((i == 0) | (before["term"] != entry["term"]) | new_chunk, i)
+        other_term = F.get("_sorted", i - 1)["term"] != entry["term"]
+        return F.when((i == 0) | other_term, i)
 
     def run_of(start, j):
         end = F.coalesce(F.get("_starts", j + 1), F.size("_sorted"))
         return F.slice("_sorted", start + 1, end - start)
 
-    def posting(run, j):
-        first = F.get(run, F.lit(0))
-        before = F.get("_sorted", F.get("_starts", j) - 1)
+    def posting(run):
         return F.struct(
-            first["term"].alias("term"),
-            F.floor(first["pos"] / chunk_tokens).cast("int").alias("chunk"),
-            ((j == 0) | (before["term"] != first["term"])).alias("is_first"),
+            F.get(run, F.lit(0))["term"].alias("term"),
             F.size(run).cast("bigint").alias("tf"),
             F.transform(run, lambda e: e["pos"].cast("bigint")).alias("positions"),
         )
 
-    rows = F.transform(F.transform("_starts", run_of), posting)
-    if with_lengths:
-        text_row = F.struct(
-            F.lit("").alias("term"),
-            F.lit(0).alias("chunk"),
-            F.lit(False).alias("is_first"),
-            F.lit(0).cast("bigint").alias("tf"),
-            F.array().cast("array<bigint>").alias("positions"),
-        )
-        rows = F.concat(F.array(text_row), rows)
-    return (
-        tokens.withColumn("_sorted", F.array_sort(places))
+    return _one_chunk(
+        tokens.withColumn("_sorted", F.sort_array(places))
         .withColumn("_starts", F.array_compact(F.transform("_sorted", starts_run)))
-        .select(key, "field", "field_len", F.inline(rows))
+        .select(key, "field", "field_len", F.inline(F.transform(F.transform("_starts", run_of), posting)))
+    )
+
+
+def _one_chunk(postings: DataFrame) -> DataFrame:
+    """Postings of whole texts: the only chunk, and the first, of their term."""
+    return postings.withColumn("chunk", F.lit(0)).withColumn("is_first", F.lit(True))
+
+
+def asked_postings(
+    tokens: DataFrame, wanted: DataFrame, key: str = "doc_key", positions: bool = True
+) -> DataFrame:
+    """Postings of the ``(field, term)`` pairs of ``wanted`` only.
+
+    Tokens nobody asks for are dropped before anything is grouped or shuffled; those
+    of a text meet in its task first, so a frequent term is not a large group.  The
+    empty term stands for the text itself and brings its length along.
+    """
+    rows = tokens.select(
+        key,
+        "field",
+        "field_len",
+        F.posexplode(F.concat(F.array(F.lit("")), "tokens")).alias("pos", "term"),
+    ).filter("term is not null")
+    places = [F.sort_array(F.collect_list(F.col("pos").cast("bigint"))).alias("positions")]
+    return _one_chunk(
+        salted_join(rows, wanted, ["field", "term"], [key], "left_semi")
+        .groupBy("field", "term", key)
+        .agg(
+            F.count(F.lit(1)).alias("tf"),
+            F.any_value("field_len").alias("field_len"),
+            *(places if positions else []),
+        )
     )
 
 

@@ -113,52 +113,46 @@ def match_clauses(
 ) -> DataFrame:
     """``(query_id, key, clause, freq, gain, norm)``: matches of clauses in documents.
 
-    Frequent terms are split by document (``terms`` tells how frequent); all
-    later steps work on the rows of one query and document and share one shuffle.
+    Frequent terms are split by document; ``terms`` tells how frequent they are.
     """
-    if not phrases:
-        weighed = weighed.filter("n_tokens = 1")
     length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
-    joined = salted_join(
-        postings,
-        weighed,
-        ["field", "term"],
-        [key],
-        counts=terms.select("field", "term", F.col("df").alias("n")),
-        **skew,
-    ).withColumn("norm", BM25_K1 * length)
     clause, facts = ["query_id", key, "clause"], ["gain", "norm"]
     kept = [F.any_value(c).alias(c) for c in facts]
-    if not phrases:
-        # The chunks of a very long document add up.
-        hits = joined.select(*clause, *facts, "tf").repartition("query_id", key)
-        return hits.groupBy(*clause).agg(F.sum("tf").alias("freq"), *kept)
-    # A phrase starts where all of its tokens agree on the place of the first.
-    whole = F.struct(F.lit(-1).cast("bigint").alias("base"), F.col("tf").alias("found"))
-    starts = F.transform(
-        "positions",
-        lambda p: F.struct(
-            (p - F.col("i")).cast("bigint").alias("base"),
-            F.lit(1).cast("bigint").alias("found"),
-        ),
-    )
-    is_term = F.col("n_tokens") == 1
-    return (
-        joined.select(
-            *clause, *facts, "n_tokens", F.inline(F.when(is_term, F.array(whole)).otherwise(starts))
-        )
+
+    def matches(clauses: DataFrame) -> DataFrame:
+        return salted_join(
+            postings,
+            clauses,
+            ["field", "term"],
+            [key],
+            counts=terms.select("field", "term", F.col("df").alias("n")),
+            **skew,
+        ).withColumn("norm", BM25_K1 * length)
+
+    # The postings of a term in a document are few rows, one per chunk: bring all
+    # clauses of a query and document together at once.
+    single = (
+        matches(weighed.filter("n_tokens = 1"))
+        .select(*clause, *facts, "tf")
         .repartition("query_id", key)
+        .groupBy(*clause)
+        .agg(F.sum("tf").alias("freq"), *kept)
+    )
+    if not phrases:
+        return single
+    # A phrase starts where all of its tokens agree on the place of the first.  The
+    # place is part of the key, so not even the longest text is one group.
+    starts = F.transform("positions", lambda p: p - F.col("i"))
+    phrase = (
+        matches(weighed.filter("n_tokens > 1"))
+        .select(*clause, *facts, "n_tokens", F.explode(starts).alias("base"))
         .groupBy(*clause, "base")
-        .agg(
-            F.sum("found").alias("found"),
-            F.count(F.lit(1)).alias("tokens_found"),
-            F.any_value("n_tokens").alias("n_tokens"),
-            *kept,
-        )
-        .filter(is_term | (F.col("tokens_found") == F.col("n_tokens")))
+        .agg(F.count(F.lit(1)).alias("found"), F.any_value("n_tokens").alias("n_tokens"), *kept)
+        .filter("found = n_tokens")
         .groupBy(*clause)
-        .agg(F.sum(F.when(is_term, F.col("found")).otherwise(1)).alias("freq"), *kept)
+        .agg(F.count(F.lit(1)).alias("freq"), *kept)
     )
+    return single.unionByName(phrase)
 
 
 def bm25(matches: DataFrame, key: str = "doc_key") -> DataFrame:

@@ -35,17 +35,15 @@ def index_of(
 ) -> SearchIndex:
     """A one-off index of ``docs``, limited to the terms the clauses ask for.
 
-    The texts are read and analysed once: the row with the empty term that every
-    text has, and no clause asks for, brings the lengths of all documents along.
+    The texts are read and analysed once: the posting with the empty term that every
+    text has brings the lengths of all documents along.
     """
     no_term = F.lit("")
     analysed = postings_ops.field_tokens(docs, fields, key, stem)
-    all_rows = postings_ops.document_postings(analysed, key, with_lengths=True)
     terms = search.vocabulary(tokens)
     every_text = terms.select("field", no_term.alias("term")).distinct()
     wanted = materialize(terms.unionByName(every_text))
-    asked = salted_join(all_rows, wanted, ["field", "term"], [key], "left_semi")
-    rows = materialize(asked if phrases else asked.drop("positions"))
+    rows = materialize(postings_ops.asked_postings(analysed, wanted, key, phrases))
     found = rows.filter(F.col("term") != no_term)
     return SearchIndex(
         docs=docs,
