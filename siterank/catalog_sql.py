@@ -12,16 +12,25 @@ from siterank.schemas import DOC_KEYWORDS
 
 SQL: dict[str, str] = {}
 
+# White space as the Spark side means it, spelled out for another regex library.
+SPACES = (
+    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
+    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+)
+SPACE_RUN = f"[{SPACES}]+"
+WORD_RUN = f"[^{SPACES}]+"
+EDGE_SPACE = f"^[{SPACES}]+|[{SPACES}]+$"
+
 PAGE_KEYWORDS = "('blog', 'en', 'fr', 'html')"
 TITLE_KEYWORDS = "('the', 'and', 'de', 'der', 'la')"
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '{text.EDGE_SPACE}', '', 'g')"
+    return f"regexp_replace({x}, '{EDGE_SPACE}', '', 'g')"
 
 
 def words(x: str) -> str:
-    return f"regexp_extract_all({x}, '{text.WORD_RUN}')"
+    return f"regexp_extract_all({x}, '{WORD_RUN}')"
 
 
 def tokens(x: str) -> str:
@@ -86,7 +95,7 @@ anchors AS (
 ), links AS (
     SELECT page_id, src,
         lower({url_part('url', 1)}) || '://' || lower({netloc('url')}) || {canonical_path('href')} AS dst,
-        {strip(f"regexp_replace(label, '{text.SPACE_RUN}', ' ', 'g')")} AS text,
+        {strip(f"regexp_replace(label, '{SPACE_RUN}', ' ', 'g')")} AS text,
         '' AS fragment
     FROM hrefs
     WHERE href LIKE '/%' AND NOT regexp_matches(href, '{IGNORED}')

@@ -5,14 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters ``str.split`` and ``str.strip`` treat as white space.
-WHITESPACE = (
-    r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
-SPACE_RUN = f"[{WHITESPACE}]+"
-WORD_RUN = f"[^{WHITESPACE}]+"
-EDGE_SPACE = f"^[{WHITESPACE}]+|[{WHITESPACE}]+$"
+# What ``str.split`` and ``str.strip`` treat as white space: the Unicode property and
+# the four separator controls.  Java matches the property much faster than a list.
+SPACE_RUN = r"(?U)[\s\x{1c}-\x{1f}]+"
+WORD_RUN = r"(?U)[^\s\x{1c}-\x{1f}]+"
+EDGE_SPACE = r"(?U)^[\s\x{1c}-\x{1f}]+|[\s\x{1c}-\x{1f}]+$"
 
 # Java's \W is ASCII only, so the Unicode classes are spelled out.
 NON_WORD = r"[^\p{L}\p{N}_]+"
@@ -46,7 +43,7 @@ def words(c: Column | str) -> Column:
 
 
 def word_count(c: Column | str) -> Column:
-    return F.coalesce(F.size(words(c)), F.lit(0))
+    return F.coalesce(F.regexp_count(col(c), F.lit(WORD_RUN)), F.lit(0))
 
 
 def join_code(c: Column | str) -> Column:
