@@ -24,6 +24,7 @@ from siterank.operators import (
     selection,
     telemetry,
 )
+from siterank.operators.skew import salted_join
 from siterank.plans import indexing, searching
 from siterank.session import materialize, scratch_path
 from siterank.sources import crawl as crawl_source
@@ -710,7 +711,8 @@ def page_events(spark: SparkSession, sf: str, kind: str) -> DataFrame:
     pages = table(spark, sf, "pages").select("page_id", "url")
     n_pages = pages.agg(F.count(F.lit(1))).scalar()
     events = table(spark, sf, "events").filter(F.col("event_type") == kind)
-    return events.withColumn("page_id", F.pmod("user_id", n_pages)).join(pages, "page_id").select(
+    seen = events.withColumn("page_id", F.pmod("user_id", n_pages))
+    return salted_join(seen, pages, ["page_id"], ["event_id"]).select(
         "event_id", "ts", "user_id", "value", "url"
     )
 
