@@ -26,7 +26,7 @@ from siterank.operators import (
 )
 from siterank.operators.skew import salted_join
 from siterank.plans import indexing, searching
-from siterank.session import materialize, scratch_path
+from siterank.session import materialize, scratch_path, ship_package
 from siterank.sources import crawl as crawl_source
 from siterank.sources import index as index_source
 from siterank.sources import stats as stats_source
@@ -42,7 +42,10 @@ TITLE_KEYWORDS = ["the", "and", "de", "der", "la"]
 
 
 def query(fn):
-    QUERIES[fn.__name__] = fn
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return fn(ship_package(spark), sf)
+
+    QUERIES[fn.__name__] = run
     return fn
 
 

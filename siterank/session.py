@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,7 +31,29 @@ def build_session(app_name: str = "siterank", master: str | None = None, **conf)
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once per application.
+
+    The Arrow helpers are imported there, wherever the driver found the package.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            str(Path(tempfile.mkdtemp(prefix="siterank-")) / "siterank_package"),
+            "zip",
+            package.parent,
+            package.name,
+        )
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+    return spark
+
+
+_SHIPPED: set[str] = set()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
