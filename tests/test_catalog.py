@@ -6,7 +6,8 @@ import os
 import duckdb
 import pytest
 
-import __spark_entry__ as driver
+from siterank.catalog import QUERIES
+from siterank.catalog_sql import SQL
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no sample tables")
@@ -28,19 +29,19 @@ def cell(value):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(driver.queries()) - set(driver.oracle_sql()) == NO_SQL
-    assert not set(driver.oracle_sql()) - set(driver.queries())
+    assert set(QUERIES) - set(SQL) == NO_SQL
+    assert not set(SQL) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(driver.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, tables, name):
-    df = driver.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     columns = sorted(df.columns)
     got = [tuple(map(cell, r)) for r in df.select(*columns).collect()]
-    want = tables.execute(f"SELECT {', '.join(columns)} FROM ({driver.oracle_sql()[name]})").fetchall()
+    want = tables.execute(f"SELECT {', '.join(columns)} FROM ({SQL[name]})").fetchall()
     assert sorted(map(repr, got)) == sorted(repr(tuple(map(cell, r))) for r in want)
 
 
 @pytest.mark.parametrize("name", sorted(NO_SQL))
 def test_runs(spark, name):
-    assert driver.queries()[name](spark, FOLDER).count() > 0
+    assert QUERIES[name](spark, FOLDER).count() > 0
