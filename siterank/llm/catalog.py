@@ -42,3 +42,12 @@ def op7_pieces(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return pieces.encode_pieces(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
+
+
+@query
+def op8_quality_lines(spark, folder):
+    from siterank.llm import quality
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.fit_line_model(docs, table(spark, folder, "labels"))
+    return quality.quality_rules(docs, model).drop("text")
