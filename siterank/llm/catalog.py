@@ -51,3 +51,13 @@ def op8_quality_lines(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     model = quality.fit_line_model(docs, table(spark, folder, "labels"))
     return quality.quality_rules(docs, model).drop("text")
+
+
+@query
+def op5_mix(spark, folder):
+    from siterank.llm import mixing
+
+    docs = table(spark, folder, "documents").select("doc_id", "source", "text")
+    sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
+    placed = mixing.mix_sources(sized)
+    return placed.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))

@@ -3,3 +3,34 @@
 from __future__ import annotations
 
 SQL: dict[str, str] = {}
+
+SQL["op5_mix"] = r"""
+WITH docs AS (
+  SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS code,
+         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size
+  FROM documents
+), sizes AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM docs GROUP BY source
+), weighed AS (
+  SELECT *, CAST([3, 1, 2][(row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1] AS DOUBLE) AS weight,
+         row_number() OVER (ORDER BY source IS NULL, source) AS nr
+  FROM sizes
+), ratios AS (
+  SELECT *, source_size * 2.0::DOUBLE / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS budget,
+         sum(weight) OVER () AS all_weight
+  FROM weighed
+), levels AS (
+  SELECT *, (budget - coalesce(sum(source_size) OVER w, 0) * 2.0::DOUBLE) / (all_weight - coalesce(sum(weight) OVER w, 0)) AS level
+  FROM ratios WINDOW w AS (ORDER BY ratio, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), targets AS (
+  SELECT *, least(source_size * 2.0::DOUBLE, max(level) OVER () * weight) AS target
+  FROM levels
+), wanted AS (
+  SELECT *, CASE WHEN source_size > 0 THEN CAST(round(target) AS BIGINT) // source_size ELSE 0 END AS whole FROM targets
+)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target,
+       CAST(t.whole * d.size + greatest(0, least(d.size, CAST(round(t.target) AS BIGINT) - t.whole * t.source_size
+         - (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.code, d.doc_id, d.size
+                              ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size))) AS BIGINT) AS taken
+FROM docs d JOIN wanted t ON d.source IS NOT DISTINCT FROM t.source
+"""
