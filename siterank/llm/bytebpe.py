@@ -10,6 +10,7 @@ to the library as it is.
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -75,3 +76,9 @@ class ByteBpe:
             else:
                 out.append(b"".join([known[c] for c in chunks]) + self.tail)
         return out
+
+
+@lru_cache(maxsize=1)
+def shared(path: str, width: int = 2, end: int | None = 0) -> ByteBpe:
+    """The encoder of this worker process, with what it remembers from earlier tasks."""
+    return ByteBpe(path, width, end)

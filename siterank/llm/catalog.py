@@ -32,7 +32,7 @@ def op6_token_files(spark, folder):
 
     path, model = scratch_path(spark, "tokens"), tokenizer_file("byte_bpe_50k.json")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    binary.write_token_files(docs, path, lambda: bytebpe.ByteBpe(model, width=2, end=0), width=2)
+    binary.write_token_files(docs, path, lambda: bytebpe.shared(model, width=2, end=0), width=2)
     return binary.with_starts(binary.read_token_files(spark, path))
 
 
