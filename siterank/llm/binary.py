@@ -168,7 +168,7 @@ def write_token_files(
             nonlocal doc_ids, tokens, held, made
             data = file_bytes((part << 32) + made, doc_ids, tokens, width)
             doc_ids, tokens, held, made = [], [], 0, made + 1
-            return pd.DataFrame({"value": [data]})
+            return pd.DataFrame({"value": [data[:-1]]})  # the writer ends it
 
         for frame in slices(frames, "text", 4 << 20):
             for doc_id, ids in zip(frame["doc_id"].tolist(), encode(frame["text"].tolist())):

@@ -61,3 +61,12 @@ def op5_mix(spark, folder):
     sized = docs.select("doc_id", "source", mixing.word_count().alias("size"))
     placed = mixing.mix_sources(sized)
     return placed.select("doc_id", "size", "source_size", "target", mixing.taken_words().alias("taken"))
+
+
+@query
+def op10_warc_packages(spark, folder):
+    from siterank.llm import warc
+
+    path = scratch_path(spark, "packages")
+    warc.write_packages(table(spark, folder, "pages").select("page_id", "url", "html"), path)
+    return warc.read_packages(spark, path)

@@ -34,3 +34,25 @@ SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.source_size, t.target,
                               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - d.size))) AS BIGINT) AS taken
 FROM docs d JOIN wanted t ON d.source IS NOT DISTINCT FROM t.source
 """
+
+SQL["op10_warc_packages"] = r"""
+WITH pages AS (
+  SELECT page_id, coalesce(html, '') AS html,
+         array_to_string(list_transform(string_split(sha1(coalesce(html, '')), ''), lambda c:
+           substr('0000000100100011010001010110011110001001101010111100110111101111',
+                  strpos('0123456789abcdef', c) * 4 - 3, 4)), '') AS bits
+  FROM pages
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS nr,
+         first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST) AS head
+  FROM pages
+)
+SELECT page_id, strlen(html) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 +
+         16 * CAST(substr(bits, 5 * i + 1, 1) AS BIGINT) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS BIGINT) +
+         4 * CAST(substr(bits, 5 * i + 3, 1) AS BIGINT) + 2 * CAST(substr(bits, 5 * i + 4, 1) AS BIGINT) +
+         CAST(substr(bits, 5 * i + 5, 1) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN nr = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN nr > 1 THEN head END AS refers_to
+FROM ranked
+"""
