@@ -70,3 +70,13 @@ def op10_warc_packages(spark, folder):
     path = scratch_path(spark, "packages")
     warc.write_packages(table(spark, folder, "pages").select("page_id", "url", "html"), path)
     return warc.read_packages(spark, path)
+
+
+@query
+def op1_toxicity(spark, folder):
+    from siterank.llm import toxicity
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
