@@ -15,6 +15,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -140,6 +141,12 @@ class PieceModel:
         return b"".join([e[2] for e in entries]).removeprefix(b" ").decode("utf-8", "replace").encode()
 
 
+@lru_cache(maxsize=1)
+def shared(path: str) -> PieceModel:
+    """The model of this worker process, with the words it remembers from earlier tasks."""
+    return PieceModel(path)
+
+
 def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Add ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``) to documents.
 
@@ -155,7 +162,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", with_ids
     schema += ", n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = PieceModel(model_path)
+        model = shared(model_path)
         for frame in slices(frames, text, 4 << 20):
             coded = model.encode([t or "" for t in frame[text].tolist()])
             ids = [",".join([e[1] for e in entries]) for entries in coded]
