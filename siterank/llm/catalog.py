@@ -80,3 +80,11 @@ def op1_toxicity(spark, folder):
     model = toxicity.fit_toxicity(docs, table(spark, folder, "labels"))
     scored = toxicity.score_toxicity(docs, model)
     return scored.select("doc_id", (toxicity.fold() == 0).alias("held_out"), "score", "predicted")
+
+
+@query
+def op9_jaccard_join(spark, folder):
+    from siterank.llm import setjoin
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return setjoin.near_duplicates(docs).drop("text")
