@@ -88,3 +88,11 @@ def op9_jaccard_join(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return setjoin.near_duplicates(docs).drop("text")
+
+
+@query
+def op4_suffix_dedup(spark, folder):
+    from siterank.llm import suffixes
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return suffixes.deduplicate(docs).drop("text")
