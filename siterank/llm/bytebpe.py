@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 
 #: Distinct chunks a worker remembers; beyond it starts afresh.
-REMEMBER = 600_000
+REMEMBER = 1_200_000
 
 
 class ByteBpe:

@@ -386,17 +386,18 @@ def narrower(fragments: DataFrame, length: int, width: int) -> DataFrame:
                 raw = np.frombuffer(data, np.uint8)
                 up, down = powers(len(raw) + 1)
                 sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * up[:-1])])
-                for cut in range((at - hi) // width, (at - lo) // width + 1):
-                    # Strings that begin cut * width to cut * width + width - 1 before the anchor.
-                    a, b = max(lo, at - cut * width - width + 1), min(hi, at - cut * width)
-                    i, j = at - cut * width - lo, at - cut * width - width + 1 + length - lo
-                    i, j = min(i, b - lo), max(j, a - lo + length)
-                    # The part every full cut has in common; cuts at an edge have it as well.
-                    common = (sums[j] - sums[i]) * down[i]
-                    content = (sums[b - lo + length] - sums[a - lo]) * down[a - lo]
-                    key = mixed(np.array([common + np.uint64((g ^ (cut * 0x9E3779B1)) & (1 << 64) - 1)], np.uint64))
-                    value = mixed(np.array([content + np.uint64((b - a) * width + at - a)], np.uint64))
-                    out.append((int(signed(key)[0]), int(signed(value)[0]), n, text, a, b, at, g, h))
+                # Strings that begin cut * width to cut * width + width - 1 before the anchor.
+                cut = np.arange((at - hi) // width, (at - lo) // width + 1)
+                near = at - cut * width
+                a, b = np.maximum(lo, near - width + 1), np.minimum(hi, near)
+                # What all strings of a cut have in common, also where the fragment ends within it.
+                i, j = near - lo, near - width + 1 + length - lo
+                common = (sums[j] - sums[i]) * down[i]
+                content = (sums[b - lo + length] - sums[a - lo]) * down[a - lo]
+                salt = np.uint64(g & (1 << 64) - 1) ^ (cut.astype(np.uint64) * np.uint64(0x9E3779B1))
+                shape = (b - a).astype(np.uint64) * np.uint64(width) + (at - a).astype(np.uint64)
+                keys, values = signed(mixed(common + salt)).tolist(), signed(mixed(content + shape)).tolist()
+                out += [(k, v, n, text, x, y, at, g, h) for k, v, x, y in zip(keys, values, a.tolist(), b.tolist())]
             columns = list(zip(*out)) or [[]] * 9
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
