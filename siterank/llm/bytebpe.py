@@ -33,48 +33,61 @@ class ByteBpe:
         self.sizes = np.zeros(max(sizes.values()) + 1, np.int64)
         for token, i in sizes.items():
             self.sizes[i] = len(token)
+        #: Ids of a chunk with a space in front, and of one at the start of a text.
         self.chunks: dict[str, bytes] = {}
+        self.firsts: dict[str, bytes] = {}
+        self.marks = {m: self.library_ids(m) for m in (".", ",")}
 
-    def learn(self, new: list[str]) -> None:
-        """Encode chunks: those with a space in front many at a time in one string.
+    def library_ids(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def learn(self, new: set[str]) -> None:
+        """Encode chunks that have a space in front, many at a time in one string.
 
         The library splits that string before each of these spaces, and a token of the
         vocabulary has one letter per byte, so the ids fall apart at the chunk ends again.
+        A word of letters and the mark after it are split by the library in any case.
         """
-        spaced = [c for c in new if len(c) > 1 and c[0] == " "]
-        other = [c for c in new if len(c) < 2 or c[0] != " "]
+        marked = [c for c in new if c[-1:] in self.marks and c[:-1].isalpha()]
+        wanted = new.difference(marked)
+        wanted.update([w for c in marked if (w := c[:-1]) not in self.chunks])
+        if "" in wanted:
+            # A space at the very end of a text.
+            self.chunks[""] = self.library_ids(" ")
+        words = [c for c in wanted if c]
         width = int(self.kind[2:])
-        for i in range(0, len(spaced), 2000):
-            chunks = spaced[i : i + 2000]
-            ids = np.array(self.library.encode("".join(chunks), add_special_tokens=False).ids, np.int64)
-            sizes = np.cumsum([len(c.encode()) for c in chunks])
-            ends = np.searchsorted(np.cumsum(self.sizes[ids]), sizes) + 1
+        lots = [words[i : i + 2000] for i in range(0, len(words), 2000)]
+        joined = [" " + " ".join(lot) for lot in lots]
+        for lot, found in zip(lots, self.library.encode_batch_fast(joined, add_special_tokens=False)):
+            ids = np.array(found.ids, np.int64)
+            sizes = np.cumsum([len(c.encode()) + 1 for c in lot])
+            ends = (np.searchsorted(np.cumsum(self.sizes[ids]), sizes) + 1) * width
             data, at = ids.astype(self.kind).tobytes(), 0
-            for chunk, end in zip(chunks, ends.tolist()):
-                self.chunks[chunk] = data[at * width : end * width]
+            for chunk, end in zip(lot, ends.tolist()):
+                self.chunks[chunk] = data[at:end]
                 at = end
-        for chunk, found in zip(other, self.library.encode_batch_fast(other, add_special_tokens=False)):
-            self.chunks[chunk] = np.array(found.ids, self.kind).tobytes()
+        self.chunks.update([(c, self.chunks[c[:-1]] + self.marks[c[-1]]) for c in marked])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
         split = [None if self.whole.search(t) else t.split(" ") for t in texts]
-        for chunks in split:
-            if chunks is not None:
-                chunks[1:] = [" " + c for c in chunks[1:]]
-        new = {c for chunks in split if chunks is not None for c in chunks} - self.chunks.keys()
-        fresh = list(new)
-        if fresh and len(self.chunks) + len(fresh) > REMEMBER:
+        firsts = [None if chunks is None else chunks.pop(0) for chunks in split]
+        wanted = set().union(*[chunks for chunks in split if chunks])
+        new = wanted.difference(self.chunks)
+        if len(self.chunks) + len(new) > REMEMBER:
             self.chunks.clear()
-            fresh = list({c for chunks in split if chunks is not None for c in chunks})
-        self.learn(fresh)
-        known = self.chunks
-        for text, chunks in zip(texts, split):
+            new = wanted
+        if len(self.firsts) > REMEMBER // 10:
+            self.firsts.clear()
+        self.learn(new)
+        known, out = self.chunks.__getitem__, []
+        for text, first, chunks in zip(texts, firsts, split):
             if chunks is None:
-                ids = self.library.encode(text, add_special_tokens=False).ids
-                out.append(np.array(ids, self.kind).tobytes() + self.tail)
-            else:
-                out.append(b"".join([known[c] for c in chunks]) + self.tail)
+                out.append(self.library_ids(text) + self.tail)
+                continue
+            head = self.firsts.get(first)
+            if head is None:
+                head = self.firsts[first] = self.library_ids(first)
+            out.append(head + b"".join(map(known, chunks)) + self.tail)
         return out
 
 
