@@ -96,3 +96,10 @@ def op4_suffix_dedup(spark, folder):
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return suffixes.deduplicate(docs).drop("text")
+
+
+@query
+def op3_prefix_forest(spark, folder):
+    from siterank.llm import neighbours
+
+    return neighbours.search(table(spark, folder, "embeddings").select("vec_id", "embedding"))
