@@ -103,3 +103,10 @@ def op3_prefix_forest(spark, folder):
     from siterank.llm import neighbours
 
     return neighbours.search(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op2_label_shards(spark, folder):
+    from siterank.llm import sharding
+
+    return sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"), shards=8)

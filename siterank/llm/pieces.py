@@ -69,6 +69,8 @@ class PieceModel:
             for p in model.pieces
         ]
         self._pair_table()
+        #: A mark at the end of a word, and the characters some piece has in front of it.
+        self.tails = {m: {a for p in self.merges for a, b in zip(p, p[1:]) if b == m} for m in ".,"}
         #: What is known of a word, named without its first mark: its ids as decimals
         #: with commas, and their surface.
         self.ids: dict[str, str] = {}
@@ -193,11 +195,15 @@ class PieceModel:
                 ids += self.spelled(symbol)
         return ids
 
-    def learn(self, words: list[str]) -> int:
+    def learn(self, new: set[str]) -> int:
         """Work out new words and check them; returns how many differed from the library.
 
         Words are named without their first mark: the library puts it in front itself.
+        A full stop or comma at the end, behind a character no piece has in front of it,
+        never merges: such a word is the word without it and then the mark.
         """
+        tailed = [w for w in new if len(w) > 1 and w[-1] in self.tails and w[-2] not in self.tails[w[-1]]]
+        words = list(new.difference(tailed).union([w[:-1] for w in tailed]).difference(self.ids, tailed))
         short = [w for w in words if len(w) < IN_STEP]
         made = dict(zip(short, self.in_step([MARK + w for w in short])) if short else ())
         wrong = 0
@@ -208,6 +214,10 @@ class PieceModel:
                 ids, wrong = given, wrong + 1
             self.ids[word] = ",".join(map(str, ids))
             self.texts[word] = b"".join([self.surface[i] for i in ids])
+        for word in sorted(tailed, key=len):
+            last = self.merges[word[-1]][1] if word[-1] in self.merges else self.spelled(word[-1])[0]
+            self.ids[word] = f"{self.ids[word[:-1]]},{last}"
+            self.texts[word] = self.texts[word[:-1]] + word[-1].encode()
         return wrong
 
     @staticmethod
@@ -228,7 +238,7 @@ class PieceModel:
             self.ids.clear()
             self.texts.clear()
             new = wanted
-        self.learn(list(new))
+        self.learn(new)
         ids, surface = self.ids.__getitem__, self.texts.__getitem__
         return [(",".join(map(ids, words)), b"".join(map(surface, words))) for words in split]
 
