@@ -51,10 +51,15 @@ def propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
         group = Window.partitionBy("_group")
         # Where most neighbours are, among shards with room; at a tie the first.
         best = F.max(F.when(pick(free, F.col("_shard")) > 0, F.struct("_n", (-F.col("_shard")).alias("_s")))).over(group)
-        asked = cells.withColumn("_best", best).select(
+        # A split group whose shards are all full gathers in the roomiest one if it fits there.
+        roomiest = max(range(shards), key=lambda s: free[s])
+        everyone = F.sum("_n").over(group)
+        gathers = (F.count(F.lit(1)).over(group) > 1) & (everyone <= free[roomiest])
+        elsewhere = F.when(gathers, F.struct(everyone.alias("_n"), F.lit(-roomiest).alias("_s")))
+        asked = cells.withColumn("_best", F.coalesce(best, elsewhere)).select(
             "_group", "_shard", "_n", F.col("_best._n").alias("_most"), (-F.col("_best._s")).cast("int").alias("_to")
         )
-        nearer = (F.col("_n") < F.col("_most")) | ((F.col("_n") == F.col("_most")) & (F.col("_shard") > F.col("_to")))
+        nearer = (F.col("_n") <= F.col("_most")) & (F.col("_shard") != F.col("_to"))
         movers = asked.filter(nearer).withColumn("_loss", F.col("_n") - F.col("_most"))
         queue = running_sums(movers, ["_to"], ["_loss", "_group", "_shard"], {"_upto": F.col("_n")})
         room = pick(free, F.col("_to")) - (F.col("_upto") - F.col("_n"))
