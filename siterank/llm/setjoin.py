@@ -41,6 +41,7 @@ class JoinSettings:
     children: int = 3
     depth: int = 4
     spare: int = 12
+    probes: int = 3
     block: int = 256
     seed: int = 11
 
@@ -162,7 +163,7 @@ def chosen_paths(sigs: DataFrame, settings: JoinSettings) -> DataFrame:
         spare = F.slice("_sig", runs + 1, settings.spare)
         members = materialize(members.select("_node", "_key", "_size", spare.alias("_spare")))
         shares = (
-            members.select("_node", "_size", F.posexplode("_spare").alias("_order", "_value"))
+            members.select("_node", "_size", F.posexplode(F.slice("_spare", 1, settings.probes)).alias("_order", "_value"))
             .groupBy("_node", "_size", "_order", "_value")
             .count()
             .groupBy("_node", "_size", "_order")
@@ -188,6 +189,20 @@ def chosen_paths(sigs: DataFrame, settings: JoinSettings) -> DataFrame:
     return out
 
 
+def different_buckets(leaves: DataFrame) -> DataFrame:
+    """Of the buckets with the same members only the one with the smallest number.
+
+    Most runs find a small group of alike sets as the same bucket.
+    """
+    members = leaves.groupBy("_node").agg(
+        F.count(F.lit(1)).alias("_size"),
+        F.bit_xor(F.xxhash64("_key")).alias("_x"),
+        F.sum(F.xxhash64(F.lit(1), "_key").bitwiseAND((1 << 40) - 1)).alias("_s"),
+    )
+    kept = members.groupBy("_size", "_x", "_s").agg(F.min("_node").alias("_node"))
+    return materialize(leaves.join(kept.select("_node"), "_node"))
+
+
 def compare(units: Iterator[pa.RecordBatch], settings: JoinSettings) -> Iterator[pa.RecordBatch]:
     """Links inside sorted units of ``(_node, _a, _b, _side, _key, _nodes, _tokens)``.
 
@@ -281,7 +296,7 @@ def links_of(members: list[tuple], unit, settings: JoinSettings) -> list[tuple]:
 def similar_sets(texts: DataFrame, settings: JoinSettings) -> DataFrame:
     """``_key, _to, _links`` of the texts that have links; ``texts`` is ``(_key, text)``, keys may repeat."""
     sigs = materialize(signatures(texts, settings).groupBy("_key").agg(F.first("_sig").alias("_sig")))
-    leaves = materialize(chosen_paths(sigs, settings))
+    leaves = different_buckets(materialize(chosen_paths(sigs, settings)))
     words, block = settings.words, settings.block
 
     def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
