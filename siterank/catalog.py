@@ -513,9 +513,8 @@ def field_stats(spark, sf):
 
 
 def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
-    """The first four words of every benchmark text."""
-    first_words = F.array_join(F.slice(text.words("text"), 1, 4), " ")
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), first_words.alias("raw"))
+    """Every benchmark text, whole, as a query."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("raw"))
 
 
 def bare_clauses(queries: DataFrame) -> DataFrame:
@@ -546,13 +545,12 @@ def bm25_topn(spark, sf):
 
 @query
 def phrase_match(spark, sf):
-    """Documents with the first two words of a benchmark text next to each other."""
-    phrase = F.array_join(F.slice(text.words("text"), 1, 2), " ")
+    """Documents with a whole benchmark text, word by word."""
     clauses = table(spark, sf, "benchmark").select(
         F.col("item_id").alias("query_id"),
         F.lit(0).alias("seq"),
         F.lit("text").alias("field"),
-        phrase.alias("text"),
+        "text",
         F.lit(1.0).alias("boost"),
     )
     tokens = materialize(search.clause_tokens(clauses, TEXT_FIELD, stem=False))
@@ -569,22 +567,34 @@ PAGE_FIELDS = {"url": False, "title": False}
 
 @query
 def fielded_search(spark, sf):
-    """Sites searched for by host (a phrase in the URL) and by title word."""
+    """Sites searched for by host (a phrase in the URL) and by every word of their titles."""
     pages = table(spark, sf, "pages").select(
         "page_id", "url", page_ops.extract_title("html").alias("title")
     )
-    host = pages.select(urls.netloc("url").alias("site"), F.get(text.tokens_default("title"), F.lit(0)).alias("word"))
-    sites = host.filter("word is not null").groupBy("site").agg(F.min("word").alias("word"))
+    words = pages.select(urls.netloc("url").alias("site"), F.explode(text.tokens_default("title")).alias("word"))
+    sites = words.groupBy("site").agg(F.sort_array(F.collect_set("word")).alias("words"))
+
+    def clause(seq, field, value, boost):
+        return F.struct(
+            F.lit(seq).cast("int").alias("seq") if isinstance(seq, int) else seq.alias("seq"),
+            F.lit(field).cast("string").alias("field"),
+            value.alias("text"),
+            F.lit(boost).alias("boost"),
+        )
+
+    def word_clauses(boost, field, offset):
+        return F.transform("words", lambda word, i: clause(2 * i + offset, field, word, boost))
+
     clauses = sites.select(
         F.col("site").alias("query_id"),
         F.inline(
-            F.array(
-                F.struct(F.lit(0).alias("seq"), F.lit("url").alias("field"), F.col("site").alias("text"), F.lit(4.0).alias("boost")),
-                F.struct(F.lit(1).alias("seq"), F.lit("title").alias("field"), F.col("word").alias("text"), F.lit(2.0).alias("boost")),
-                F.struct(F.lit(2).alias("seq"), F.lit(None).cast("string").alias("field"), F.col("word").alias("text"), F.lit(1.0).alias("boost")),
+            F.concat(
+                F.array(clause(0, "url", F.col("site"), 4.0)),
+                word_clauses(2.0, "title", 1),
+                word_clauses(1.0, None, 2),
             )
         ),
-    )
+    )
     tokens = materialize(search.clause_tokens(clauses, PAGE_FIELDS, stem=False))
     index = searching.index_of(pages, tokens, PAGE_FIELDS, "page_id", stem=False)
     found = searching.scores(tokens, index, "page_id")
@@ -594,11 +604,11 @@ def fielded_search(spark, sf):
 
 
 def titled_documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents with a short title, which copies share."""
+    """Documents with their first line as title, which copies share."""
     return table(spark, sf, "documents").select(
         "doc_id",
         "text",
-        F.substring("text", 1, 20).alias("title"),
+        first_line().alias("title"),
         F.concat(F.lit("https://"), "source", F.lit(".example.org/"), "doc_id").alias("url"),
         F.col("text").alias("content"),
         F.lit("").alias("code"),

@@ -406,7 +406,7 @@ def subterms(term: str) -> str:
 
 
 BENCHMARK_CLAUSES = f"""
-query_words AS (SELECT item_id AS query_id, unnest({words('lower(text)')}[1:4]) AS term FROM benchmark),
+query_words AS (SELECT item_id AS query_id, unnest({words('lower(text)')}) AS term FROM benchmark),
 forms AS (SELECT query_id, unnest({subterms('term')}) AS form FROM query_words),
 clauses AS (SELECT query_id, form AS term, count(*) AS weight FROM forms WHERE strlen(form) < 40 GROUP BY query_id, form)"""
 
@@ -441,7 +441,7 @@ WITH {DOC_SCORES}, ranked AS (
     SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
     FROM scores QUALIFY rank <= 20
 ), titled AS (
-    SELECT r.*, substr(text, 1, 20) AS title FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
+    SELECT r.*, string_split(text, chr(10))[1] AS title FROM ranked r JOIN documents d ON d.doc_id = r.doc_id
 ), firsts AS (
     SELECT * FROM titled QUALIFY row_number() OVER (PARTITION BY query_id, title ORDER BY rank) = 1
 )
@@ -450,7 +450,7 @@ FROM firsts QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 1
 
 SQL["phrase_match"] = f"""
 WITH {DOC_TOKENS}, phrases AS (
-    SELECT item_id AS query_id, {tokens(f"array_to_string({words('text')}[1:2], ' ')")} AS t FROM benchmark
+    SELECT item_id AS query_id, {tokens('text')} AS t FROM benchmark
 ), wanted AS (SELECT query_id, len(t) AS n, unnest(range(len(t))) AS i, unnest(t) AS term FROM phrases),
 starts AS (
     SELECT query_id, doc_id, pos - i AS base FROM wanted JOIN doc_tokens USING (term)
@@ -466,9 +466,9 @@ toks AS (
 ), lengths AS (SELECT page_id, field, count(*) AS field_len FROM toks GROUP BY page_id, field),
 collection AS (SELECT field, sum(field_len) / (SELECT count(*) FROM pages) AS mean FROM lengths GROUP BY field),
 sites AS (
-    SELECT {netloc('url')} AS site, min({tokens('title')}[1]) AS word FROM docs GROUP BY site HAVING word IS NOT NULL
+    SELECT DISTINCT {netloc('url')} AS site, unnest({tokens('title')}) AS word FROM docs
 ), clauses AS (
-    SELECT site, 'url' AS field, site AS value, 4.0 AS weight FROM sites
+    SELECT DISTINCT site, 'url' AS field, site AS value, 4.0 AS weight FROM sites
     UNION ALL SELECT site, 'title', word, 3.0 FROM sites
     UNION ALL SELECT site, 'url', word, 1.0 FROM sites
 ), split_clauses AS (SELECT *, {tokens('value')} AS t FROM clauses),

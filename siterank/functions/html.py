@@ -25,10 +25,14 @@ BLOCKS = SELF_CLOSING | CONTAINERS | {
     "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "br", "hr",
 }
 BOILERPLATE = {
-    "nav", "header", "footer", "aside", "script", "style", "noscript", "template", "form",
-    "button", "head",
+    "nav", "header", "footer", "aside", "script", "style", "noscript", "template", "button",
+    "head", "title",
 }
 MAIN_REGIONS = {"article", "main"}
+# What may stand in a head; any other tag closes a head that was left open.
+IN_HEAD = {"base", "link", "meta", "noscript", "script", "style", "template", "title"}
+# Boilerplate regions that a page may leave open: a new one or a main region closes them.
+OPEN_REGIONS = {"nav", "header", "footer", "aside"}
 
 LINK = T.StructType([T.StructField("href", T.StringType()), T.StructField("text", T.StringType())])
 PARSED = T.StructType(
@@ -56,6 +60,11 @@ class PageParser(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.snippet_tag = snippet_tag
         self.open: list[str] = []
+        # How often each tag is open, and how many of them are boilerplate or main regions:
+        # the stack itself is never searched without knowing that the tag is there.
+        self.count: dict[str, int] = {}
+        self.boilerplate = 0
+        self.main = 0
         self.title: str | None = None
         self.base_href: str | None = None
         self.snippets: list[str] = []
@@ -67,6 +76,10 @@ class PageParser(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         self._flush()
+        if self.count.get("head") and tag not in IN_HEAD and tag != "head":
+            self._close("head")
+        if tag in OPEN_REGIONS or tag in MAIN_REGIONS:
+            self._close_regions()
         if tag in SELF_CLOSING:
             self._close_open(tag)
         values = dict(attrs)
@@ -77,7 +90,7 @@ class PageParser(HTMLParser):
             self.links.append({"href": values["href"], "text": ""})
             self.link_text = [] if tag == "a" else None
         if tag not in VOID_TAGS:
-            self.open.append(tag)
+            self._open(tag)
         if tag in BLOCKS:
             self._add_text("\n")
 
@@ -90,9 +103,8 @@ class PageParser(HTMLParser):
         self._flush()
         if tag == "a":
             self._end_link()
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
+        if self.count.get(tag):
+            self._close(tag)
         if tag in BLOCKS:
             self._add_text("\n")
 
@@ -102,10 +114,42 @@ class PageParser(HTMLParser):
     def handle_data(self, data):
         self.pending.append(data)
 
+    def unknown_decl(self, data):
+        """A declaration of another kind of document is skipped."""
+
+    def _open(self, tag):
+        self.open.append(tag)
+        self.count[tag] = self.count.get(tag, 0) + 1
+        self.boilerplate += tag in BOILERPLATE
+        self.main += tag in MAIN_REGIONS
+
+    def _pop(self):
+        tag = self.open.pop()
+        self.count[tag] -= 1
+        self.boilerplate -= tag in BOILERPLATE
+        self.main -= tag in MAIN_REGIONS
+        return tag
+
+    def _close(self, tag):
+        """Close the last open ``tag`` and all that was opened since."""
+        while self._pop() != tag:
+            pass
+
+    def _close_regions(self):
+        """Close boilerplate regions that lie directly below the new one, left open by the page."""
+        for depth in range(len(self.open) - 1, -1, -1):
+            if self.open[depth] in OPEN_REGIONS:
+                self._close(self.open[depth])
+                return
+            if self.open[depth] in CONTAINERS:
+                return
+
     def _close_open(self, tag):
+        if not self.count.get(tag):
+            return
         for depth in range(len(self.open) - 1, -1, -1):
             if self.open[depth] == tag:
-                del self.open[depth:]
+                self._close(tag)
                 return
             if self.open[depth] in CONTAINERS:
                 return
@@ -129,9 +173,9 @@ class PageParser(HTMLParser):
         self._add_text(text)
 
     def _add_text(self, text):
-        if BOILERPLATE.isdisjoint(self.open):
+        if not self.boilerplate:
             self.body.append(text)
-            if not MAIN_REGIONS.isdisjoint(self.open):
+            if self.main:
                 self.region.append(text)
 
     def result(self) -> dict:
@@ -152,9 +196,14 @@ def _tidy(parts: list[str]) -> str:
 
 
 def parse_page(html: str | None, snippet_tag: str = "code") -> dict:
+    """Title, snippets, content and links of a page; of a broken one what came before the break."""
     parser = PageParser(snippet_tag)
-    parser.feed(html or "")
-    parser.close()
+    try:
+        parser.feed(html or "")
+        parser.close()
+    except (AssertionError, ValueError):
+        # The parser of the standard library raises these on malformed declarations.
+        pass
     return parser.result()
 
 

@@ -193,7 +193,12 @@ def crawl_records(
             if "content_type" in columns
             else F.lit(False)
         ).alias("plain"),
-        F.when(F.lit("content_type" in columns), F.col("html")).otherwise(F.lit(None)).alias("plain_text"),
+        (
+            # The html goes to Python once; only plain texts, which are not parsed, go beside it.
+            F.when(F.col("content_type").startswith("text/plain"), F.col("html"))
+            if "content_type" in columns
+            else F.lit(None).cast("string")
+        ).alias("plain_text"),
         "html",
     )
     parsed = parse_pages(given, "html", snippet_tag)

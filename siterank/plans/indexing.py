@@ -72,10 +72,23 @@ def posting_rows(
 
 
 def index_crawl(
-    crawl: DataFrame, index_path: str, run: str, n: int = 10_000, stem: bool = True, **options
+    crawl: DataFrame,
+    index_path: str,
+    run: str,
+    n: int = 10_000,
+    stem: bool = True,
+    stored: bool = False,
+    **options,
 ) -> None:
-    """Select, analyse and write all crawl files of a frame as one run of the index."""
+    """Select, analyse and write all crawl files of a frame as one run of the index.
+
+    Features, links, anchors and texts are separate scans of the crawl: it is stored
+    first, so that its files are unpacked, or its pages parsed, only once.  Say
+    ``stored`` for a crawl that is a plain scan of a stored table already, as
+    ``read_crawl`` gives it for crawl files.
+    """
     spark = crawl.sparkSession
+    crawl = crawl if stored else materialize(crawl)
     selected = materialize(with_doc_key(select_pages(crawl, n, **options), run))
     index_tables.write_search_docs(features.with_bodies(selected, crawl), index_path, run)
     docs = read_parquet(spark, index_tables.run_path(index_path, "search_docs", run), "doc_key")

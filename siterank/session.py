@@ -24,9 +24,6 @@ def build_session(app_name: str = "siterank", master: str | None = None, **conf)
         # The default page limit per site is 10,000: let ranked filters of that
         # size drop rows before the shuffle, not only those up to 1,000.
         "spark.sql.optimizer.windowGroupLimitThreshold": "10000",
-        # Collecting the positions of a term makes many small groups per task;
-        # hash them instead of falling back to sorting at 128 groups.
-        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "100000",
         **conf,
     }
     for key, value in settings.items():

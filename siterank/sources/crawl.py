@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siterank.functions.text import strip
 from siterank.schemas import CRAWL_DATASET, CRAWL_RECORD
+from siterank.session import materialize
 
 CRAWL_SUFFIX = ".crawl.gz"
 
@@ -19,7 +20,9 @@ def domain_of_file(file_name: Column) -> Column:
 def read_crawl(spark: SparkSession, path: str, layout: str = "files") -> DataFrame:
     """Crawl records with ``crawl_file``, ``crawl_domain`` and their order ``ord``.
 
-    ``layout="files"``: one ``*.crawl.gz`` file, or all of them below a folder.
+    ``layout="files"``: one ``*.crawl.gz`` file, or all of them below a folder.  They are
+    read once and stored: a number of a row depends on how Spark packs the files into
+    partitions, so it must not be made anew by a later scan.
     ``layout="dataset"``: what ``write_crawl`` wrote; the domain is the file.
     """
     if layout == "dataset":
@@ -31,7 +34,7 @@ def read_crawl(spark: SparkSession, path: str, layout: str = "files") -> DataFra
             "pathGlobFilter", f"*{CRAWL_SUFFIX}"
         )
     scan = reader.json(path).withColumn("_file", F.col("_metadata"))
-    return with_input_order(with_crawl_domain(scan))
+    return materialize(with_input_order(with_crawl_domain(scan)))
 
 
 def with_crawl_domain(df: DataFrame) -> DataFrame:
@@ -42,7 +45,10 @@ def with_crawl_domain(df: DataFrame) -> DataFrame:
 
 
 def with_input_order(df: DataFrame) -> DataFrame:
-    """Order within a file: a gzip file is never split, so ids rise line by line."""
+    """Order within a file: a gzip file is never split, so ids rise line by line.
+
+    The ids hold for one scan only; store the result before it is joined with itself.
+    """
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 

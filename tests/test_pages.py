@@ -1,7 +1,11 @@
 """Page extraction, crawl datasets and the frontier."""
 
+import time
+
+import pytest
 from pyspark.sql import functions as F
 
+from siterank.functions import html
 from siterank.functions.html import parse_page
 from siterank.operators import frontier, pages
 from siterank.sources import crawl as crawl_source
@@ -104,3 +108,25 @@ def test_next_frontier(spark):
     crawled = spark.createDataFrame([("a.com", "https://a.com/seen")], "domain string, url string")
     got = frontier.next_frontier(links, crawled, 3).orderBy("rank").collect()
     assert [(r.url[14:], r.priority) for r in got] == [("docs/guide", 2), ("docs", 1), ("x", 0)]
+
+
+@pytest.mark.parametrize(
+    "page, content",
+    [
+        ("<html><head><title>t</title><body><p>hello world</p></body></html>", "hello world"),
+        ("<title>t</title><p>para", "para"),
+        ("<body><form><p>all of it</p></form></body>", "all of it"),
+        ("<body><nav><a href='/x'>x</a><article><p>the text</p></article>", "the text"),
+        ("<body><nav>menu<header>top</header><main>body text</main>", "body text"),
+        ("<p>before</p><![foo[ x ]]><p>after</p>", None),
+    ],
+)
+def test_content_of_untidy_pages(page, content):
+    found = html.parse_page(page)["content"]
+    assert found == content if content is not None else found.startswith("before")
+
+
+def test_unclosed_tags_cost_linear_time():
+    start = time.perf_counter()
+    html.parse_page("<b><i>x" * 100_000)
+    assert time.perf_counter() - start < 10
