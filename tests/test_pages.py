@@ -1,5 +1,7 @@
 """Page extraction, crawl datasets and the frontier."""
 
+import gzip
+import json
 import time
 
 import pytest
@@ -7,7 +9,8 @@ from pyspark.sql import functions as F
 
 from siterank.functions import html
 from siterank.functions.html import parse_page
-from siterank.operators import frontier, pages
+from siterank.operators import features, frontier, pages
+from siterank.session import materialize
 from siterank.sources import crawl as crawl_source
 
 HTML = """<html><head><title> T &amp; U </title></head><body>
@@ -130,3 +133,24 @@ def test_unclosed_tags_cost_linear_time():
     start = time.perf_counter()
     html.parse_page("<b><i>x" * 100_000)
     assert time.perf_counter() - start < 10
+
+
+def test_crawl_files_keep_their_order_when_parallelism_changes(spark, tmp_path):
+    for f in range(6):
+        with gzip.open(tmp_path / f"site{f}_com.crawl.gz", "wt") as out:
+            for i in range(9):
+                record = {"url": f"http://site{f}.com/{i}", "date": 1, "title": f"t{i}", "content": f"text {f} {i}", "code_snippets": [], "out_links": {}}
+                out.write(json.dumps(record) + "\n")
+    option = "spark.sql.leafNodeDefaultParallelism"
+    try:
+        spark.conf.set(option, "1")
+        crawl = crawl_source.read_crawl(spark, str(tmp_path), layout="files")
+        selected = features.document_features(crawl).select("crawl_file", "ord", "url")
+        selected = materialize(selected)
+        spark.conf.set(option, "8")
+        found = features.with_bodies(selected, crawl).select("url", "content").collect()
+    finally:
+        spark.conf.unset(option)
+    assert sorted(tuple(r) for r in found) == sorted((f"http://site{f}.com/{i}", f"text {f} {i}") for f in range(6) for i in range(9))
+    in_file = crawl.orderBy("crawl_file", "ord").select("crawl_domain", "url").collect()
+    assert [tuple(r) for r in in_file] == [(f"site{f}.com", f"http://site{f}.com/{i}") for f in range(6) for i in range(9)]
