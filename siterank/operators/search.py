@@ -13,6 +13,7 @@ from siterank.functions.stemming import stem_tokens
 from siterank.operators.postings import analyzed
 from siterank.operators.skew import rank_by_group, salted_join
 from siterank.schemas import SEARCH_FIELDS
+from siterank.session import broadcast_limit, estimated_bytes
 
 # Fixed values of the ranking formula.
 BM25_K1 = 1.2
@@ -113,31 +114,41 @@ def match_clauses(
 ) -> DataFrame:
     """``(query_id, key, clause, freq, gain, norm)``: matches of clauses in documents.
 
-    Frequent terms are split by document; ``terms`` tells how frequent they are.
+    Clauses within the broadcast limit meet postings that were brought together by
+    document before: each posting of an asked term moves once, and what clauses make
+    of it is summed up where it is.  For more clauses, frequent terms are split by
+    document; ``terms`` tells how frequent they are.
     """
     length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
     clause, facts = ["query_id", key, "clause"], ["gain", "norm"]
     kept = [F.any_value(c).alias(c) for c in facts]
+    limit = skew.get("broadcast_bytes")
+    limit = broadcast_limit(postings.sparkSession) if limit is None else limit
+    few = estimated_bytes(weighed) <= limit
+    if few:
+        asked = F.broadcast(weighed.select("field", "term").distinct())
+        by_document = postings.join(asked, ["field", "term"], "left_semi").repartition(key)
 
     def matches(clauses: DataFrame) -> DataFrame:
-        return salted_join(
-            postings,
-            clauses,
-            ["field", "term"],
-            [key],
-            counts=terms.select("field", "term", F.col("df").alias("n")),
-            **skew,
-        ).withColumn("norm", BM25_K1 * length)
+        if few:
+            joined = by_document.join(F.broadcast(clauses), ["field", "term"])
+        else:
+            joined = salted_join(
+                postings,
+                clauses,
+                ["field", "term"],
+                [key],
+                counts=terms.select("field", "term", F.col("df").alias("n")),
+                **skew,
+            )
+        return joined.withColumn("norm", BM25_K1 * length)
 
     # The postings of a term in a document are few rows, one per chunk: bring all
     # clauses of a query and document together at once.
-    single = (
-        matches(weighed.filter("n_tokens = 1"))
-        .select(*clause, *facts, "tf")
-        .repartition("query_id", key)
-        .groupBy(*clause)
-        .agg(F.sum("tf").alias("freq"), *kept)
-    )
+    single = matches(weighed.filter("n_tokens = 1")).select(*clause, *facts, "tf")
+    if not few:
+        single = single.repartition("query_id", key)
+    single = single.groupBy(*clause).agg(F.sum("tf").alias("freq"), *kept)
     if not phrases:
         return single
     # A phrase starts where all of its tokens agree on the place of the first.  The
@@ -170,8 +181,15 @@ def top_hits(scores: DataFrame, n: int, key: str = "doc_key") -> DataFrame:
 def with_columns_of(
     hits: DataFrame, docs: DataFrame, columns: Sequence[str], key: str = "doc_key", **skew
 ) -> DataFrame:
-    """Look up stored columns of the hits; a document many queries hit is no hot spot."""
-    return salted_join(hits, docs.select(key, *columns), [key], ["query_id"], **skew)
+    """Look up stored columns of the hits; a document many queries hit is no hot spot.
+
+    Hits are few rows per query.  If they are within the broadcast limit, documents that
+    nobody hit are dropped at the scan and their texts never move.
+    """
+    stored = docs.select(key, *columns)
+    if estimated_bytes(hits) <= broadcast_limit(hits.sparkSession):
+        stored = stored.join(F.broadcast(hits.select(key).distinct()), key, "left_semi")
+    return salted_join(hits, stored, [key], ["query_id"], **skew)
 
 
 def dedupe_titles(hits: DataFrame) -> DataFrame:

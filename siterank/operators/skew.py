@@ -15,8 +15,10 @@ from siterank.session import broadcast_limit, estimated_bytes, materialize
 HEAVY_SHARE = 1 / 1000
 # Below this many rows a key is no burden whatever its share.
 HEAVY_ROWS = 200_000
-# A ranked group is first ranked in this many shares.
+# A ranked group is first ranked in this many shares ...
 RANK_SHARES = 256
+# ... when so many of its rows are kept that those of all tasks are a burden for one.
+RANK_WHOLE = 100
 
 
 def heavy_keys(
@@ -100,14 +102,13 @@ def rank_by_group(
     """The first ``n`` rows of every group with their rank, exactly.
 
     Up to the window group limit of the session, Spark itself drops all but ``n``
-    rows of a group in every task before the shuffle.  Beyond it a group is ranked
-    in shares first and only the winners of the shares meet in one task, so no task
-    sees more than ``shares * n`` rows of a group.  ``order`` must end in a unique
+    rows of a group in every task before the shuffle.  Above ``RANK_WHOLE`` a group is
+    ranked in shares first and only the winners of the shares meet in one task, so no
+    task sees more than ``shares * n`` rows of a group.  ``order`` must end in a unique
     key and ``spread`` should tell the rows of a group apart.
     """
     in_group = Window.partitionBy(*by).orderBy(*order)
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if n > limit:
+    if n > RANK_WHOLE:
         in_share = Window.partitionBy(*by, "_share").orderBy(*order)
         df = (
             df.withColumn("_share", F.pmod(F.xxhash64(*spread), F.lit(shares)))

@@ -78,6 +78,7 @@ def index_crawl(
     n: int = 10_000,
     stem: bool = True,
     stored: bool = False,
+    only_new: bool = False,
     **options,
 ) -> None:
     """Select, analyse and write all crawl files of a frame as one run of the index.
@@ -85,11 +86,15 @@ def index_crawl(
     Features, links, anchors and texts are separate scans of the crawl: it is stored
     first, so that its files are unpacked, or its pages parsed, only once.  Say
     ``stored`` for a crawl that is a plain scan of a stored table already, as
-    ``read_crawl`` gives it for crawl files.
+    ``read_crawl`` gives it for crawl files.  With ``only_new``, pages whose crawl domain
+    and URL another run has indexed already are left out after the selection.
     """
     spark = crawl.sparkSession
     crawl = crawl if stored else materialize(crawl)
-    selected = materialize(with_doc_key(select_pages(crawl, n, **options), run))
+    chosen = select_pages(crawl, n, **options)
+    if only_new:
+        chosen = index_tables.not_indexed(chosen, index_path, run)
+    selected = materialize(with_doc_key(chosen, run))
     index_tables.write_search_docs(features.with_bodies(selected, crawl), index_path, run)
     docs = read_parquet(spark, index_tables.run_path(index_path, "search_docs", run), "doc_key")
     # Sorting by range reads its input twice: analyse the texts only once.

@@ -34,8 +34,18 @@ def write_search_docs(docs: DataFrame, index_path: str, run: str) -> None:
     docs.select(*columns).write.mode("overwrite").parquet(run_path(index_path, "search_docs", run))
 
 
+def not_indexed(pages: DataFrame, index_path: str, run: str) -> DataFrame:
+    """Pages that no other run has under the same crawl domain and URL."""
+    spark = pages.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{index_path}/search_docs")
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return pages
+    known = spark.read.parquet(f"{index_path}/search_docs").filter(F.col("run").cast("string") != run)
+    return pages.join(known.select("crawl_domain", "url"), ["crawl_domain", "url"], "left_anti")
+
+
 def write_postings(postings: DataFrame, index_path: str, run: str, key: str = "doc_key") -> None:
-    """Postings in term order, so that a lookup skips most row groups.
+    """Postings in term order, split by field.
 
     The document is part of the range, so a frequent term fills several files.
     """

@@ -166,3 +166,13 @@ def test_run_search(spark, docs):
     assert by_query[1] == by_query[2] == ["Beta", "Alpha"]
     assert by_query[5] == ["Beta", "Alpha"] and not by_query[3] and not by_query[4] and not by_query[6]
     assert got[0].snippet == "the <b>dog</b> barks and the <b>dog</b> runs"
+
+
+def test_texts_of_documents_nobody_hit_do_not_move(spark, tmp_path):
+    spark.range(2000).selectExpr("id AS doc_key", "repeat('x', 500) AS content").write.parquet(str(tmp_path / "docs"))
+    spark.range(20).selectExpr("id AS query_id", "id * 7 AS doc_key").write.parquet(str(tmp_path / "hits"))
+    docs, hits = (spark.read.parquet(str(tmp_path / n)) for n in ("docs", "hits"))
+    found = search.with_columns_of(hits, docs, ["content"])
+    assert found.count() == 20
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi" in plan and "BroadcastHashJoin" in plan

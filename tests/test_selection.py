@@ -100,6 +100,10 @@ def test_index_run_and_rerun(spark, crawl_dir, tmp_path):
     indexing.index_crawl(crawl, path, "second", 3)  # another run is appended
     assert read_index_stat(spark, path + "/index_stat").collect()[0].n_docs == 4
     assert read_index(spark, path).docs.count() == 4
+    indexing.index_crawl(crawl, path, "third", 3, stored=True, only_new=True)  # nothing is new
+    assert read_index(spark, path).docs.count() == 4
+    indexing.index_crawl(crawl, str(tmp_path / "other"), "first", 3, only_new=True)
+    assert read_index(spark, str(tmp_path / "other")).docs.count() == 2
 
 
 def test_constant_feature_makes_importance_null(spark, tmp_path):
