@@ -1,12 +1,12 @@
 """The bound queries as DuckDB SQL over the same tables, for comparing results.
 
 The statements are written from the meaning of the operators, independently of the
-DataFrame code; only patterns and word lists are shared.
+DataFrame code, patterns included; only lists of fixed values are shared.
 """
 
 from __future__ import annotations
 
-from siterank.functions import text, urls
+from siterank.functions.urls import PATH_SAFE
 from siterank.operators.pages import IGNORED_EXTENSIONS
 from siterank.schemas import DOC_KEYWORDS
 
@@ -19,6 +19,11 @@ SPACES = (
 )
 SPACE_RUN = f"[{SPACES}]+"
 WORD_RUN = f"[^{SPACES}]+"
+# Letters and digits of any script; the same with the underscore, to split at.
+LETTERS_DIGITS = r"[\p{L}\p{N}]+"
+BETWEEN_WORDS = r"[^\p{L}\p{N}_]+"
+# Parts of an address: 1 scheme, 2 and 3 host, 4 path, 5 and 6 query, 7 fragment.
+ADDRESS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(//([^/?#]*))?([^?#]*)(\?([^#]*))?(?:#(.*))?$"
 EDGE_SPACE = f"^[{SPACES}]+|[{SPACES}]+$"
 
 PAGE_KEYWORDS = "('blog', 'en', 'fr', 'html')"
@@ -34,11 +39,11 @@ def words(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    return f"regexp_extract_all(lower({x}), '{text.ALNUM_RUN}')"
+    return f"regexp_extract_all(lower({x}), '{LETTERS_DIGITS}')"
 
 
 def url_part(x: str, group: int) -> str:
-    return f"regexp_extract({x}, '{urls.URL_PATTERN}', {group})"
+    return f"regexp_extract({x}, '{ADDRESS}', {group})"
 
 
 def netloc(x: str) -> str:
@@ -48,7 +53,7 @@ def netloc(x: str) -> str:
 def canonical_path(x: str) -> str:
     """Percent-escaped path, reserved characters kept."""
     out = f"url_encode(url_decode({x}))"
-    for escape, char in urls.PATH_SAFE.items():
+    for escape, char in PATH_SAFE.items():
         quoted = "''" if char == "'" else char
         out = f"replace({out}, '{escape}', '{quoted}')"
     return f"CASE WHEN {x} = '' THEN '/' ELSE {out} END"
@@ -172,8 +177,8 @@ def url_keywords(x: str) -> str:
     path = f"regexp_replace({url_part(x, 4)}, ';[^/]*$', '')"
     return (
         f"len(list_filter(list_concat(list_concat(string_split({netloc(x)}, '.'), "
-        f"regexp_split_to_array({path}, '{text.NON_WORD}')), "
-        f"regexp_split_to_array({url_part(x, 7)}, '{text.NON_WORD}')), lambda w: w IN %s))"
+        f"regexp_split_to_array({path}, '{BETWEEN_WORDS}')), "
+        f"regexp_split_to_array({url_part(x, 7)}, '{BETWEEN_WORDS}')), lambda w: w IN %s))"
     )
 
 
