@@ -28,7 +28,7 @@ MARK = "▁"
 #: A run of marks and what follows up to the next mark.
 MARKED_WORD = re.compile("▁*[^▁]+|▁+")
 #: Distinct words a worker remembers; beyond it starts afresh.
-REMEMBER = 900_000
+REMEMBER = 400_000
 #: Longer words keep an agenda of their own.
 IN_STEP = 48
 NO_RANK = 1 << 30
@@ -270,7 +270,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text: str = "text", with_ids
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = shared(model_path)
-        for frame in slices(frames, text, 4 << 20):
+        for frame in slices(frames, text, 1 << 20):
             coded = model.encode([t or "" for t in frame[text].tolist()])
             frame = frame.assign(
                 n_tokens=[ids.count(",") + 1 if ids else 0 for ids, _ in coded],

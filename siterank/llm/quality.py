@@ -249,7 +249,7 @@ def quality_rules(docs: DataFrame, model: LineModel, text: str = "text", least_s
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leads: dict[int, float] = {}
-        for frame in slices(frames, text, 4 << 20):
+        for frame in slices(frames, text, 2 << 20):
             found = [judge(t or "", model, leads, least_share) for t in frame[text].tolist()]
             yield frame.assign(**{name: list(values) for name, values in zip(COLUMNS, zip(*found))})
 

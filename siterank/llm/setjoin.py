@@ -63,7 +63,7 @@ _POWERS: list[np.ndarray] = []
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2 ** 64."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         one = np.ones(1, np.uint64)
         _POWERS[:] = [np.concatenate([one, np.cumprod(np.full(size - 1, b))]) for b in (BASE, UNBASE)]
     return _POWERS[0][:n], _POWERS[1][:n]
@@ -107,7 +107,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     return mixed(out), bounds
 
 
-def per_slice(batch: pa.RecordBatch, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def per_slice(batch: pa.RecordBatch, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch of about ``most`` bytes of text each; the text is its last column."""
     _, offsets = utf8(batch.column(batch.num_columns - 1))
     at = 0

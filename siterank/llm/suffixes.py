@@ -336,7 +336,7 @@ def split(rows: DataFrame, reference: list[str]):
     return whole, need
 
 
-def sorted_groups(fragments: DataFrame, length: int, batch_bytes: int = 4 << 20) -> DataFrame:
+def sorted_groups(fragments: DataFrame, length: int, batch_bytes: int = 2 << 20) -> DataFrame:
     """Spans of repeated strings of the fragments with one place, group by group."""
 
     def solve(held: list[list[tuple]]) -> pa.RecordBatch:
