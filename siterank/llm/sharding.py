@@ -2,8 +2,10 @@
 
 The links are those of equal texts.  Documents begin in random shards of equal size.  In
 every round a group looks where most of its members are and those elsewhere ask to
-move there; a shard admits the movers with the greatest gain up to its quota.  Rounds go
-on until nobody moves.  Members of a group in one shard are alike, so a round works on
+move there.  Requests are exchanged between two shards or around a circle of shards, and
+fill what room there is up to the quotas; those with the greatest gain go first.  When
+nothing more can be exchanged, groups turn to shards with room.  Rounds go on until
+nobody moves.  Members of a group in one shard are alike, so a round works on
 one row per group and shard, however large a group is; documents without links fill
 what is left of the quotas.  All steps are DataFrame operations.
 """
@@ -25,7 +27,7 @@ def even(total: int, shards: int) -> list[int]:
 
 
 def pick(values: list[int], at: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v).cast("long") for v in values]), (at + 1).cast("int"))
+    return F.element_at(F.expr(f"array({', '.join(f'{v}L' for v in values)})"), (at + 1).cast("int"))
 
 
 def by_rank(sizes: list[int], rank: Column) -> tuple[Column, Column]:
@@ -43,39 +45,185 @@ def loads(cells: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(cells: DataFrame, quotas: list[int], rounds: int) -> DataFrame:
-    """Cells ``_group, _shard, _n`` after the rounds; no shard ever holds more than its quota."""
+def admissions(asked: dict, tied: dict, free: list[int]) -> tuple[dict, dict]:
+    """How many rows go from shard to shard: ``(s, t)`` to rows, of those that ask and of the tied.
+
+    ``asked`` has rows by ``(s, t)``; ``tied`` has ``(rows, groups)`` by ``(s, t)``, s < t,
+    of groups that may gather in either.  Opposite requests are exchanged, then requests
+    around longer circles, then the free room is filled, and what a leaver frees as well.
+    Only numbers of shards are handled here.
+    """
+    asked, either, free = dict(asked), {k: n for k, (n, _) in tied.items()}, list(free)
+    by_asked, by_tied = {}, {}
+    shards = range(len(free))
+
+    def room(s: int, t: int) -> int:
+        return asked.get((s, t), 0) + either.get((min(s, t), max(s, t)), 0) + oriented.get((s, t), 0)
+
+    def take(s: int, t: int, n: int, kept: bool = True) -> None:
+        first = min(n, asked.get((s, t), 0))
+        if first:
+            asked[s, t] -= first
+            by_asked[s, t] = by_asked.get((s, t), 0) + first
+        if n > first:
+            by_tied[s, t] = by_tied.get((s, t), 0) + n - first
+            pair = (min(s, t), max(s, t))
+            if kept:
+                # The rest of these rows may only follow, never come back.
+                oriented[s, t] = oriented.get((s, t), 0) + either.pop(pair, 0)
+                oriented[s, t] -= n - first
+            else:
+                either[pair] -= n - first
+
+    def way(s: int, t: int) -> list[int] | None:
+        """A shortest way from s to t, not along the edge itself."""
+        came, turn = {s: s}, [s]
+        for a in turn:
+            for b in shards:
+                if b not in came and {a, b} != {s, t} and room(a, b) > 0:
+                    came[b] = a
+                    turn.append(b)
+        if t not in came:
+            return None
+        path = [t]
+        while path[-1] != s:
+            path.append(came[path[-1]])
+        return path[::-1]
+
+    oriented: dict = {}
+    pairs = [(s, t) for s in shards for t in shards if s < t]
+    for s, t in pairs:
+        opposite = min(asked.get((s, t), 0), asked.get((t, s), 0))
+        for a, b in ((s, t), (t, s)) if opposite else ():
+            take(a, b, opposite)
+        for a, b in ((s, t), (t, s)):
+            n = min(asked.get((a, b), 0), either.get((s, t), 0))
+            if n:
+                take(a, b, n)
+                take(b, a, n, tied[s, t][1] == 1)
+        half = either.get((s, t), 0) // 2
+        if half and tied[s, t][1] > 1:
+            take(s, t, half, False)
+            take(t, s, half, False)
+    for s, t in [(s, t) for s in shards for t in shards if s != t]:
+        while room(s, t) > 0 and (path := way(t, s)):
+            edges = [(s, t), *zip(path, path[1:])]
+            n = min(room(a, b) for a, b in edges)
+            for a, b in edges:
+                take(a, b, n)
+    # No circles are left: room that is handed back along requests comes to an end.
+    more = True
+    while more:
+        more = False
+        for s, t in [(s, t) for s in shards for t in shards if s != t]:
+            n = min(room(s, t), free[t])
+            if n > 0:
+                take(s, t, n)
+                free[t], free[s], more = free[t] - n, free[s] + n, True
+    return by_asked, by_tied
+
+
+def exchange(cells: DataFrame, quotas: list[int], free: list[int]) -> DataFrame:
+    """Moves ``_group, _shard, _to, _moved`` of members to where most of their group are.
+
+    A cell that fills its shard stays.  Groups with two largest cells may gather in either.
+    """
     shards = len(quotas)
-    for _ in range(rounds):
-        free = [q - load for q, load in zip(quotas, loads(cells, shards))]
-        group = Window.partitionBy("_group")
-        # Where most neighbours are, among shards with room; at a tie the first.
-        best = F.max(F.when(pick(free, F.col("_shard")) > 0, F.struct("_n", (-F.col("_shard")).alias("_s")))).over(group)
-        # A split group whose shards are all full gathers in the roomiest one if it fits there.
-        roomiest = max(range(shards), key=lambda s: free[s])
-        everyone = F.sum("_n").over(group)
-        gathers = (F.count(F.lit(1)).over(group) > 1) & (everyone <= free[roomiest])
-        elsewhere = F.when(gathers, F.struct(everyone.alias("_n"), F.lit(-roomiest).alias("_s")))
-        asked = cells.withColumn("_best", F.coalesce(best, elsewhere)).select(
-            "_group", "_shard", "_n", F.col("_best._n").alias("_most"), (-F.col("_best._s")).cast("int").alias("_to")
-        )
-        nearer = (F.col("_n") <= F.col("_most")) & (F.col("_shard") != F.col("_to"))
-        movers = asked.filter(nearer).withColumn("_loss", F.col("_n") - F.col("_most"))
-        queue = running_sums(movers, ["_to"], ["_loss", "_group", "_shard"], {"_upto": F.col("_n")})
-        room = pick(free, F.col("_to")) - (F.col("_upto") - F.col("_n"))
-        moved = queue.withColumn("_moved", F.greatest(F.lit(0), F.least("_n", room))).filter("_moved > 0")
-        moved = materialize(moved.select("_group", "_shard", "_to", "_moved"))
+    open_cells = cells.filter(F.col("_n") < pick(quotas, F.col("_shard")))
+    group = Window.partitionBy("_group")
+    order = group.orderBy(F.col("_n").desc(), F.xxhash64("_group", "_shard"), "_shard")
+    ranked = open_cells.select(
+        "_group",
+        "_shard",
+        "_n",
+        F.row_number().over(order).alias("_nth"),
+        F.first("_shard").over(order).alias("_to"),
+        F.first("_n").over(order).alias("_most"),
+    ).filter("_nth > 1")
+    tied = (F.col("_nth") == 2) & (F.col("_n") == F.col("_most"))
+    movers = ranked.select(
+        "_group",
+        F.when(tied, F.least("_shard", "_to")).otherwise(F.col("_shard")).alias("_shard"),
+        F.when(tied, F.greatest("_shard", "_to")).otherwise(F.col("_to")).alias("_to"),
+        "_n",
+        (F.col("_n") - F.col("_most")).alias("_loss"),
+        tied.cast("int").alias("_tied"),
+    )
+    movers = materialize(movers)
+    # One row per pair of shards.
+    sums = movers.groupBy("_tied", "_shard", "_to").agg(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("groups")).collect()
+    asked = {(r["_shard"], r["_to"]): r["n"] for r in sums if not r["_tied"]}
+    either = {(r["_shard"], r["_to"]): (r["n"], r["groups"]) for r in sums if r["_tied"]}
+    by_asked, by_tied = admissions(asked, either, free)
+
+    def of(found: dict, back: bool = False) -> Column:
+        edges = [found.get((t, s) if back else (s, t), 0) for s in range(shards) for t in range(shards)]
+        return pick(edges, F.col("_shard") * shards + F.col("_to"))
+
+    queue = running_sums(movers, ["_tied", "_shard", "_to"], ["_loss", "_group"], {"_upto": F.col("_n")})
+    is_tied = F.col("_tied") == 1
+    there = F.when(is_tied, of(by_tied)).otherwise(of(by_asked)) - (F.col("_upto") - F.col("_n"))
+    # Of the tied the last go the other way.
+    behind = of({k: n for k, (n, _) in either.items()}) - F.col("_upto")
+    back = F.when(is_tied, of(by_tied, True) - behind).otherwise(F.lit(0))
+    net = F.greatest(F.lit(0), F.least("_n", there)) - F.greatest(F.lit(0), F.least(F.col("_n"), back))
+    moves = queue.withColumn("_net", net).filter("_net <> 0")
+    return moves.select(
+        "_group",
+        F.when(F.col("_net") > 0, F.col("_shard")).otherwise(F.col("_to")).alias("_shard"),
+        F.when(F.col("_net") > 0, F.col("_to")).otherwise(F.col("_shard")).alias("_to"),
+        F.abs("_net").alias("_moved"),
+    )
+
+
+def fill(cells: DataFrame, free: list[int]) -> DataFrame:
+    """Moves to where most neighbours are among the shards with room; at a tie the first."""
+    group = Window.partitionBy("_group")
+    best = F.max(F.when(pick(free, F.col("_shard")) > 0, F.struct("_n", (-F.col("_shard")).alias("_s")))).over(group)
+    asked = cells.withColumn("_best", best).select(
+        "_group", "_shard", "_n", F.col("_best._n").alias("_most"), (-F.col("_best._s")).cast("int").alias("_to")
+    )
+    nearer = (F.col("_n") <= F.col("_most")) & (F.col("_shard") != F.col("_to"))
+    movers = asked.filter(nearer).withColumn("_loss", F.col("_n") - F.col("_most"))
+    queue = running_sums(movers, ["_to"], ["_loss", "_group", "_shard"], {"_upto": F.col("_n")})
+    room = pick(free, F.col("_to")) - (F.col("_upto") - F.col("_n"))
+    moved = queue.withColumn("_moved", F.greatest(F.lit(0), F.least("_n", room))).filter("_moved > 0")
+    return moved.select("_group", "_shard", "_to", "_moved")
+
+
+def gather(cells: DataFrame, free: list[int]) -> DataFrame:
+    """Moves of whole split groups to the roomiest shard, the smallest first, as far as they fit."""
+    roomiest = max(range(len(free)), key=lambda s: free[s])
+    away = F.when(F.col("_shard") != roomiest, F.col("_n")).otherwise(0)
+    groups = cells.groupBy("_group").agg(F.count(F.lit(1)).alias("_cells"), F.sum(away).alias("_away"))
+    groups = groups.filter((F.col("_cells") > 1) & (F.col("_away") <= free[roomiest]))
+    queue = running_sums(groups, [], ["_away", "_group"], {"_upto": F.col("_away")})
+    fits = queue.filter(F.col("_upto") <= free[roomiest]).select("_group")
+    moved = cells.filter(F.col("_shard") != roomiest).join(fits, "_group")
+    return moved.select("_group", "_shard", F.lit(roomiest).alias("_to"), F.col("_n").alias("_moved"))
+
+
+def propagate(cells: DataFrame, quotas: list[int]) -> DataFrame:
+    """Cells ``_group, _shard, _n`` when nobody moves; no shard ever holds more than its quota.
+
+    Every move makes the sum of the squares of ``_n`` greater, so the rounds end.
+    """
+    while True:
+        free = [q - load for q, load in zip(quotas, loads(cells, len(quotas)))]
+        moved = materialize(exchange(cells, quotas, free))
+        for other in (fill, gather):
+            if moved.isEmpty() and any(free):
+                moved = materialize(other(cells, free))
         if moved.isEmpty():
-            break
+            return cells
         changes = moved.select("_group", "_shard", (-F.col("_moved")).alias("_n")).unionByName(
             moved.select("_group", F.col("_to").alias("_shard"), F.col("_moved").alias("_n"))
         )
         cells = cells.unionByName(changes).groupBy("_group", "_shard").agg(F.sum("_n").alias("_n"))
         cells = materialize(cells.filter("_n > 0"))
-    return cells
 
 
-def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
     """Add ``size, text_crc32, law, shard, slot, grown_shard`` to every document.
 
     The law is ``rows``: counts of shards are at most one apart, so ``grown_shard`` is
@@ -104,7 +252,7 @@ def shard_documents(docs: DataFrame, shards: int = 8, rounds: int = 12) -> DataF
     begun = running_sums(linked.select("_group", "_row", "_mix"), [], ["_mix", "_row"], {"_rank": F.lit(1)})
     begun = begun.withColumn("_shard", by_rank(even(linked.count(), shards), F.col("_rank"))[0])
     cells = materialize(begun.groupBy("_group", "_shard").agg(F.count(F.lit(1)).alias("_n")))
-    cells = propagate(cells, quotas, rounds)
+    cells = propagate(cells, quotas)
     held = loads(cells, shards)
     # Cells follow one another in their shard, and in their group.
     cells = running_sums(cells, ["_shard"], ["_group"], {"_slots": F.col("_n")})

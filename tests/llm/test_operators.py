@@ -189,6 +189,33 @@ def test_all_rows_linked(spark):
     check_shards(found)
 
 
+def test_copies_change_places_between_full_shards(spark):
+    for n, odd in ((400, 0), (403, 3)):
+        rows = [(i, f"text {i // 2}") for i in range(2 * n)]
+        found = sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        check_shards(found)
+        where = {r.doc_id: r.shard for r in found}
+        # Shards of an odd size must share a pair with another.
+        assert sum(where[2 * i] != where[2 * i + 1] for i in range(n)) <= 2 * odd
+
+
+def test_admissions_go_around_and_keep_quotas():
+    assert sharding.admissions({(0, 1): 5, (1, 0): 3}, {(0, 1): (4, 4)}, [0, 0]) == ({(0, 1): 5, (1, 0): 3}, {(1, 0): 3, (0, 1): 1})
+    assert sharding.admissions({(0, 1): 2, (1, 2): 2, (2, 0): 1}, {}, [0, 0, 0])[0] == {(0, 1): 1, (1, 2): 1, (2, 0): 1}
+    assert sharding.admissions({(0, 1): 2, (1, 2): 2}, {}, [0, 0, 1])[0] == {(0, 1): 1, (1, 2): 1}
+    r = random.Random(8)
+    for _ in range(200):
+        asked = {(s, t): r.randrange(9) for s in range(5) for t in range(5) if s != t and r.random() < 0.5}
+        tied = {(s, t): (n, r.randint(1, n)) for s in range(5) for t in range(s + 1, 5) if (n := r.randrange(6))}
+        free = [r.choice([0, 0, 3]) for _ in range(5)]
+        ask, tie = sharding.admissions(asked, tied, free)
+        assert all(0 <= n <= asked[k] for k, n in ask.items())
+        assert all(tie.get((s, t), 0) + tie.get((t, s), 0) <= n for (s, t), (n, _) in tied.items())
+        for s in range(5):
+            moves = [((a, b), n) for d in (ask, tie) for (a, b), n in d.items()]
+            assert sum(n for (_, b), n in moves if b == s) - sum(n for (a, _), n in moves if a == s) <= free[s]
+
+
 # --- neighbours --------------------------------------------------------------------
 
 
