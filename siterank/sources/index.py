@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 STORED_COLUMNS = ["doc_key", "doc_id", "date", "url", "title", "content", "code", "features"]
 
+TABLES = ["search_docs", "postings", "term_stats", "field_stats", "index_stat"]
+
 
 @dataclass
 class SearchIndex:
@@ -34,11 +36,25 @@ def write_search_docs(docs: DataFrame, index_path: str, run: str) -> None:
     docs.select(*columns).write.mode("overwrite").parquet(run_path(index_path, "search_docs", run))
 
 
+def hadoop_folder(spark: SparkSession, path: str):
+    """A folder and the store it is in."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_runs(spark: SparkSession, index_path: str, runs: list[str]) -> None:
+    """Remove runs that another takes the place of, as far as they are there."""
+    for table in TABLES:
+        for run in runs:
+            folder, store = hadoop_folder(spark, run_path(index_path, table, run))
+            store.delete(folder, True)
+
+
 def not_indexed(pages: DataFrame, index_path: str, run: str) -> DataFrame:
     """Pages that no other run has under the same crawl domain and URL."""
     spark = pages.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{index_path}/search_docs")
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    folder, store = hadoop_folder(spark, f"{index_path}/search_docs")
+    if not store.exists(folder) or not len(store.listStatus(folder)):
         return pages
     known = spark.read.parquet(f"{index_path}/search_docs").filter(F.col("run").cast("string") != run)
     return pages.join(known.select("crawl_domain", "url"), ["crawl_domain", "url"], "left_anti")

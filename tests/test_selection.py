@@ -117,3 +117,40 @@ def test_constant_feature_makes_importance_null(spark, tmp_path):
         ("https://b.org/1", None, 0),
         ("https://b.org/2", None, 0),
     ]
+
+
+def test_stream_in_one_batch_and_in_three(spark, tmp_path):
+    from siterank.sources.index import read_index
+    from siterank.sources.stats import read_index_stat
+    from siterank.streaming.indexing import start_index_stream
+
+    def record(domain, i, page, words, link):
+        url = f"https://{domain}/docs/{page}"
+        links = {f"https://{domain}/docs/{link}": [f"to {link}"]}
+        return dict(date=i, url=url, title=f"T{page}", content="w " * words, code_snippets=["c " * (i % 3)],
+                    out_links=links, crawl_domain=domain, ord=i)
+
+    a = [record("a.com", i, i % 5, 1 + i % 5, (i + 1) % 4) for i in range(9)]
+    b = [record("b.org", i, i, 2 * i + 1, i // 2) for i in range(4)]
+    parts = [a[:4] + b[:1], a[4:6], a[6:] + b[1:]]
+
+    def indexed(name, batches):
+        crawl, index = tmp_path / name / "crawl", str(tmp_path / name / "index")
+        for k, batch in enumerate(batches):
+            for r in batch:
+                folder = crawl / f"crawl_domain={r['crawl_domain']}"
+                folder.mkdir(parents=True, exist_ok=True)
+                with open(folder / f"{k}.json", "a") as f:
+                    f.write(json.dumps({c: v for c, v in r.items() if c != "crawl_domain"}) + "\n")
+            start_index_stream(spark, str(crawl), index, str(tmp_path / name / "log"), True, n=3,
+                               importance_features=["content_len"]).awaitTermination()
+        found = read_index(spark, index)
+        docs = found.docs.select("crawl_domain", "url", "content", "features").collect()
+        posted = found.postings.join(found.docs.select("doc_key", "url"), "doc_key")
+        posted = posted.select("url", "field", "term", "tf", "positions", "field_len").collect()
+        stat = read_index_stat(spark, index + "/index_stat").collect()
+        return [sorted(map(repr, x)) for x in (docs, posted, found.terms.collect(), found.fields.collect(), stat)]
+
+    one = indexed("one", [a + b])
+    assert len(one[0]) == 6
+    assert indexed("three", parts) == one
