@@ -47,10 +47,19 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes: a row for every time a document is taken, its last one cut to the target."""
+    """What the mix takes: a row for every time a document is taken, always whole.
+
+    The last document of a source is taken if that brings the source nearer to its target.
+    """
     ship_package(spark)
     placed = mixing.mix_sources(docs.select(*COLUMNS))
-    return as_documents(mixing.mixed_documents(placed, COLUMNS))
+    return as_documents(mixing.whole_documents(placed, COLUMNS))
+
+
+def mix_differences(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """By how many words the mix of these documents misses the target of each source."""
+    ship_package(spark)
+    return mixing.source_differences(mixing.mix_sources(docs.select("doc_id", "source", "text")))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

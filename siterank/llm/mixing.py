@@ -221,3 +221,23 @@ def mixed_documents(placed: DataFrame, columns: list[str]) -> DataFrame:
     head = F.array_join(F.slice(steps, 1, F.col("_place.words").cast("int")), "")
     text = F.when(F.col("_place.words") < F.col("_size"), head).otherwise(F.col("text"))
     return rows.withColumn("text", text).drop("_size")
+
+
+def whole_words():
+    """Words of a placement when its document is taken whole or not at all, whichever is nearer to the target."""
+    words = F.col("_place.words")
+    return F.when(words * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0).cast("long"))
+
+
+def whole_documents(placed: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per placement, texts whole: the last document of a source is not cut."""
+    rows = placed.select(*columns, "size", F.explode("placements").alias("_place"))
+    return rows.filter(whole_words() > 0).select(*columns, "_place")
+
+
+def source_differences(placed: DataFrame) -> DataFrame:
+    """``source, target, taken, difference``: words of ``whole_documents`` against the target, per source."""
+    rows = placed.select("source", "target", "size", F.explode_outer("placements").alias("_place"))
+    taken = F.coalesce(F.sum(F.when(F.col("_place").isNotNull(), whole_words())), F.lit(0).cast("long"))
+    found = rows.groupBy("source", "target").agg(taken.alias("taken"))
+    return found.withColumn("difference", F.col("taken") - F.col("target"))

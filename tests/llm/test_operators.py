@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siterank.llm import binary, bytebpe, mixing, neighbours, pieces, quality, setjoin, sharding, suffixes, toxicity, warc
 from siterank.llm.catalog import tokenizer_file
@@ -331,6 +332,23 @@ def test_mix(docs, empty):
     assert mixing.mix_sources(empty, mix).count() == 0
 
 
+def test_pipeline_mixes_whole_texts(spark, docs):
+    import corpus_pipeline
+
+    given = docs.select("doc_id", "text", "lang", "source", F.lit(0).cast("long").alias("n_chars"))
+    texts = {(r.doc_id, r.text) for r in docs.collect()}
+    rows = corpus_pipeline.mix(spark, given, "").collect()
+    assert rows and all((r.doc_id, r.text) in texts for r in rows)
+    taken, longest = collections.Counter(), collections.Counter()
+    for r in rows:
+        taken[r.source] += len(WORDS.findall(r.text))
+    for d in docs.collect():
+        longest[d.source] = max(longest[d.source], len(WORDS.findall(d.text or "")))
+    for r in corpus_pipeline.mix_differences(spark, given).collect():
+        assert r.taken == taken[r.source] and math.isclose(r.difference, r.taken - r.target, abs_tol=1e-6)
+        assert abs(r.difference) <= longest[r.source] / 2 + 0.5
+
+
 def test_splitting_tree_keeps_quotas():
     quotas = np.array([0, 5, 17, 1, 300])
     leaves = mixing.split_quotas(quotas, 8, np.random.default_rng(3))
