@@ -110,3 +110,27 @@ def op2_label_shards(spark, folder):
     from siterank.llm import sharding
 
     return sharding.shard_documents(table(spark, folder, "documents").select("doc_id", "text"), shards=8)
+
+
+@query
+def op11_conversation_repair(spark, folder):
+    from siterank.llm import repair
+
+    return repair.repair_conversations(table(spark, folder, "conversations"))
+
+
+@query
+def op12_harmonic_packing(spark, folder):
+    from siterank.llm import packing
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    packed = packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"), end_id=2, capacity=4096)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "used", "class")
+
+
+@query
+def op13_block_search(spark, folder):
+    from siterank.llm import lexsearch
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexsearch.search(docs, table(spark, folder, "benchmark").select("item_id", "text"), k=10)

@@ -56,3 +56,38 @@ SELECT page_id, strlen(html) AS payload_bytes,
        CASE WHEN nr > 1 THEN head END AS refers_to
 FROM ranked
 """
+
+SQL["op13_block_search"] = r"""
+WITH docs AS (
+  SELECT doc_id, row_number() OVER () AS row_key,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sized AS (
+  SELECT doc_id, row_key, terms, CAST(len(terms) AS BIGINT) AS n FROM docs WHERE len(terms) > 0
+), totals AS (
+  SELECT CAST(count(*) AS BIGINT) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM sized
+), tf AS (
+  SELECT doc_id, row_key, n, term, CAST(count(*) AS BIGINT) AS tf
+  FROM (SELECT doc_id, row_key, n, unnest(terms) AS term FROM sized) GROUP BY ALL
+), asked AS (
+  SELECT item_id, term, CAST(count(*) AS BIGINT) AS q
+  FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark)
+  GROUP BY ALL
+), df AS (
+  SELECT term, CAST(count(*) AS BIGINT) AS df FROM tf WHERE term IN (SELECT term FROM asked) GROUP BY term
+), parts AS (
+  SELECT tf.row_key, tf.doc_id, tf.term,
+         CAST(floor(1000.0 * ln((2.0 * big_n + 2.0) / (2.0 * df.df + 1.0))) AS BIGINT)
+         * ((1000000000 * tf.tf) // (1000 * tf.tf + 8 * (25 + (75 * tf.n * big_n) // big_l))) AS c
+  FROM tf JOIN df USING (term), totals
+), scores AS (
+  SELECT a.item_id, p.row_key, p.doc_id, CAST(sum(a.q * p.c) AS BIGINT) AS score
+  FROM asked a JOIN parts p USING (term) GROUP BY ALL
+), ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS FIRST) AS rank
+  FROM scores WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
