@@ -14,6 +14,7 @@ from siterank.operators.postings import analyzed
 from siterank.operators.skew import rank_by_group, salted_join
 from siterank.schemas import SEARCH_FIELDS
 from siterank.session import broadcast_limit, estimated_bytes
+from siterank.sources.index import term_bucket
 
 # Fixed values of the ranking formula.
 BM25_K1 = 1.2
@@ -117,8 +118,14 @@ def match_clauses(
     Clauses within the broadcast limit meet postings that were brought together by
     document before: each posting of an asked term moves once, and what clauses make
     of it is summed up where it is.  For more clauses, frequent terms are split by
-    document; ``terms`` tells how frequent they are.
+    document; ``terms`` tells how frequent they are.  Stored postings have a ``bucket``
+    per term: the clauses carry the same, so only the asked buckets are read.
     """
+    on = ["field", "term"]
+    if "bucket" in postings.columns:
+        weighed = weighed.withColumn("bucket", term_bucket("term"))
+        terms = terms.withColumn("bucket", term_bucket("term"))
+        on = ["field", "bucket", "term"]
     length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
     clause, facts = ["query_id", key, "clause"], ["gain", "norm"]
     kept = [F.any_value(c).alias(c) for c in facts]
@@ -126,19 +133,19 @@ def match_clauses(
     limit = broadcast_limit(postings.sparkSession) if limit is None else limit
     few = estimated_bytes(weighed) <= limit
     if few:
-        asked = F.broadcast(weighed.select("field", "term").distinct())
-        by_document = postings.join(asked, ["field", "term"], "left_semi").repartition(key)
+        asked = F.broadcast(weighed.select(*on).distinct())
+        by_document = postings.join(asked, on, "left_semi").repartition(key)
 
     def matches(clauses: DataFrame) -> DataFrame:
         if few:
-            joined = by_document.join(F.broadcast(clauses), ["field", "term"])
+            joined = by_document.join(F.broadcast(clauses), on)
         else:
             joined = salted_join(
                 postings,
                 clauses,
-                ["field", "term"],
+                on,
                 [key],
-                counts=terms.select("field", "term", F.col("df").alias("n")),
+                counts=terms.select(*on, F.col("df").alias("n")),
                 **skew,
             )
         return joined.withColumn("norm", BM25_K1 * length)

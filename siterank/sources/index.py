@@ -8,13 +8,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 STORED_COLUMNS = ["doc_key", "doc_id", "date", "url", "title", "content", "code", "features"]
 
 TABLES = ["search_docs", "postings", "term_stats", "field_stats", "index_stat"]
 
+#: Postings are stored in this many folders per field, by a hash of the term.  Every
+#: run of an index must use the same number: readers compute the bucket of a term.
+POSTING_BUCKETS = 64
+
+
+def term_bucket(term: Column | str, buckets: int = POSTING_BUCKETS) -> Column:
+    """The folder of a term's postings; searches carry it so that Spark prunes the others."""
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
 
 @dataclass
 class SearchIndex:
@@ -61,15 +70,20 @@ def not_indexed(pages: DataFrame, index_path: str, run: str) -> DataFrame:
 
 
 def write_postings(postings: DataFrame, index_path: str, run: str, key: str = "doc_key") -> None:
-    """Postings in term order, split by field.
+    """Postings in term order, in folders by field and term bucket.
 
-    The document is part of the range, so a frequent term fills several files.
+    A search joins on the bucket too, so Spark reads only the folders of the asked
+    terms (dynamic partition pruning).  A task writes a range of buckets and terms,
+    few files each; the document is part of the range, so a frequent term fills
+    several files of its bucket.
     """
+    order = ["field", "bucket", "term", key]
     (
-        postings.repartitionByRange("field", "term", key)
-        .sortWithinPartitions("field", "term", key)
+        postings.withColumn("bucket", term_bucket("term"))
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
         .write.mode("overwrite")
-        .partitionBy("field")
+        .partitionBy("field", "bucket")
         .parquet(run_path(index_path, "postings", run))
     )
 

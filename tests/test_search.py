@@ -176,3 +176,46 @@ def test_texts_of_documents_nobody_hit_do_not_move(spark, tmp_path):
     assert found.count() == 20
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "LeftSemi" in plan and "BroadcastHashJoin" in plan
+
+
+def scan_files(plan):
+    """``(files read, partition filters)`` of every parquet scan of an executed plan."""
+    found, leaves = [], plan.collectLeaves()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.nodeName().startswith("Scan parquet"):
+            metrics = leaf.metrics()
+            found.append((metrics.apply("numFiles").value(), leaf.toString()))
+    return found
+
+
+@pytest.mark.parametrize("skew", [{}, {"broadcast_bytes": -1, "share": 0.05, "min_rows": 1}])
+def test_stored_postings_are_pruned_by_bucket(spark, tmp_path, skew):
+    """Only the folders of asked term buckets are read, and the matches stay the same."""
+    from siterank.sources import index as index_tables
+
+    words = [f"w{i}" for i in range(300)]
+    rows = [(k, "", " ".join(words[(k * 7 + j * 13) % 300] for j in range(40)), "") for k in range(600)]
+    rows += [(1000 + k, "", "common " * 5 + "rare", "") for k in range(50)]  # a frequent term
+    many = materialize(spark.createDataFrame(rows, "doc_key long, title string, content string, code string"))
+    stored = materialize(postings.document_postings(postings.field_tokens(many, FIELDS, stem=False)))
+    index_tables.write_postings(stored, str(tmp_path), "r1")
+    on_disk = spark.read.parquet(str(tmp_path / "postings"))
+    all_files = len(on_disk.inputFiles())
+    assert on_disk.select("field", "bucket").distinct().count() > 50
+    assert on_disk.filter("term = 'common'").select(F.input_file_name()).distinct().count() >= 1
+    tokens = tokens_of(spark, [(1, "content", "w5", 1), (2, "content", "common rare", 1), (3, "content", "w7 w9", 2)])
+    terms = materialize(postings.term_stats(stored))
+    weighed = materialize(search.weigh_clauses(tokens, terms, postings.field_stats(postings.field_tokens(many, FIELDS, stem=False))))
+    want = {tuple(r) for r in search.match_clauses(weighed, stored, terms, **skew).collect()}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = search.match_clauses(weighed, on_disk, terms, **skew)
+        got = {tuple(r) for r in found.collect()}
+        scans = scan_files(found._jdf.queryExecution().executedPlan())
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == want and len(got) > 50
+    postings_scans = [(n, s) for n, s in scans if "bucket" in s]
+    assert postings_scans and all("dynamicpruningexpression" in s for _, s in postings_scans)
+    assert all(0 < n <= all_files // 10 for n, _ in postings_scans)
