@@ -159,20 +159,44 @@ def match_clauses(
     if not phrases:
         return single
     # A phrase starts where all of its tokens agree on the place of the first.  The
-    # place is part of the key, so not even the longest text is one group.
-    starts = F.transform("positions", lambda p: p - F.col("i"))
+    # postings of a clause and document meet in one row; a document that lacks one of
+    # the tokens drops out before any position is read, and the others intersect the
+    # start places of their tokens inside the row, rarest token first.
+    phrase = matches(weighed.filter("n_tokens > 1"))
+    if not few:
+        phrase = phrase.repartition("query_id", key)
     phrase = (
-        matches(weighed.filter("n_tokens > 1"))
-        .select(*clause, *facts, "n_tokens", F.explode(starts).alias("base"))
-        .groupBy(*clause, "base")
-        .agg(F.count(F.lit(1)).alias("found"), F.any_value("n_tokens").alias("n_tokens"), *kept)
-        .filter("found = n_tokens")
-        .groupBy(*clause)
-        .agg(F.count(F.lit(1)).alias("freq"), *kept)
+        phrase.groupBy(*clause)
+        .agg(
+            F.collect_list(F.struct("i", "positions")).alias("_places"),
+            F.any_value("n_tokens").alias("n_tokens"),
+            *kept,
+        )
+        .filter(F.size(F.array_distinct(F.transform("_places", lambda x: x["i"]))) == F.col("n_tokens"))
+        .withColumn("freq", phrase_count(F.col("_places"), F.col("n_tokens")))
+        .filter("freq > 0")
+        .select(*clause, "freq", *facts)
     )
     return single.unionByName(phrase)
 
 
+def phrase_count(places, n_tokens):
+    """Places where token ``i`` stands ``i`` after the first, for every token of a phrase.
+
+    ``places`` holds ``(i, positions)`` of one document, several rows of a token where
+    its positions were stored in chunks.
+    """
+
+    def starts(i):
+        of_token = F.filter(places, lambda x: x["i"] == i)
+        return F.flatten(F.transform(of_token, lambda x: F.transform(x["positions"], lambda p: p - i)))
+
+    per_token = F.transform(F.sequence(F.lit(0), n_tokens - 1), starts)
+    rarest_first = F.array_sort(per_token, lambda a, b: F.size(a) - F.size(b))
+    common = F.aggregate(F.slice(rarest_first, 2, n_tokens), F.get(rarest_first, 0), lambda acc, x: F.array_intersect(acc, x))
+    return F.size(common).cast("bigint")
+
+
 def bm25(matches: DataFrame, key: str = "doc_key") -> DataFrame:
     """``(query_id, key, score)``: boosted BM25, summed over the clauses."""
     freq = F.col("freq")
