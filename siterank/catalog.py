@@ -543,6 +543,18 @@ def bm25_topn(spark, sf):
     return search.top_hits(found, 10, "doc_id").select("query_id", "rank", "doc_id", "score")
 
 
+@query
+def bm25_topn_blocks(spark, sf):
+    """The rows of ``bm25_topn``, joining only the postings of document ranges that can
+    hold one of the ten best (block maxima and a threshold, exact)."""
+    tokens = benchmark_tokens(spark, sf)
+    index = searching.index_of(table(spark, sf, "documents"), tokens, TEXT_FIELD, "doc_id", stem=False, phrases=False)
+    terms = materialize(index.terms)
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
+    found = search.block_top_hits(weighed, index.postings, 10, "doc_id")
+    return found.select("query_id", "rank", "doc_id", "score")
+
+
 @query
 def phrase_match(spark, sf):
     """Documents with a whole benchmark text, word by word."""

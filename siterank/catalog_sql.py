@@ -579,3 +579,4 @@ SELECT sum(n_docs) AS docs_in_index, count(*) AS domains_in_index,
     {top_list(domain_counts('view'), 'n')} AS top_showed_domains,
     {top_list(domain_counts('click'), 'n')} AS top_clicked_domains
 FROM ({HOST_STAT})"""
+SQL["bm25_topn_blocks"] = SQL["bm25_topn"]

@@ -197,6 +197,69 @@ def phrase_count(places, n_tokens):
     return F.size(common).cast("bigint")
 
 
+def _range_scores(singles: DataFrame, placed: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
+    """BM25 of single-token clauses in the given ``(query_id, _range)`` only."""
+    length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
+    clauses = singles.join(ranges.select("query_id", "_range"), "query_id")
+    rows = placed.drop("mean_len").join(clauses, ["field", "term", "_range"])
+    matches = rows.groupBy("query_id", key, "clause").agg(
+        F.sum("tf").alias("freq"), F.any_value("gain").alias("gain"), F.any_value(BM25_K1 * length).alias("norm")
+    )
+    return bm25(matches, key)
+
+
+def block_ranges(
+    weighed: DataFrame, postings: DataFrame, n: int, key: str = "doc_key", range_docs: int = 4096, seed_ranges: int = 2
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``(placed postings, ranges to read, all bounded ranges)`` for ``block_top_hits``.
+
+    Documents fall into ranges of ``range_docs`` keys (null keys into one of their
+    own).  Every term keeps, per range, the largest saturation ``tf / (tf + norm)`` of
+    its postings, so a query bounds the score of any document in a range by the sum of
+    gain times that maximum over its clauses.  The exact scores in each query's
+    ``seed_ranges`` best-bounded ranges give a threshold, the n-th of them; ranges
+    bounded below it cannot hold a result.  Bounds keep a margin for rounding.
+    """
+    singles = weighed.filter("n_tokens = 1")
+    means = singles.select("field", "mean_len").distinct()  # one row per searched field
+    block = F.coalesce(F.floor(F.col(key) / range_docs), F.lit(-(1 << 62))).cast("long")
+    length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
+    placed = postings.join(F.broadcast(means), "field").select(
+        "field", "term", key, "tf", "field_len", "mean_len", block.alias("_range"),
+        (F.col("tf") / (F.col("tf") + BM25_K1 * length)).alias("_sat"),
+    )
+    best = placed.groupBy("field", "term", "_range").agg(F.max("_sat").alias("_sat"))
+    bounds = (
+        singles.join(best, ["field", "term"])
+        .groupBy("query_id", "_range")
+        .agg(F.sum(F.col("gain") * F.col("_sat")).alias("_bound"))
+    )
+    by_bound = Window.partitionBy("query_id").orderBy(F.desc("_bound"), "_range")
+    seeds = bounds.withColumn("_r", F.row_number().over(by_bound)).filter(F.col("_r") <= seed_ranges)
+    nth = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    thresholds = (
+        _range_scores(singles, placed, seeds, key)
+        .withColumn("_r", F.row_number().over(nth))
+        .filter(F.col("_r") == n)
+        .select("query_id", F.col("score").alias("_least"))
+    )
+    margin = F.abs(F.col("_least")) * 1e-9 + 1e-9
+    kept = bounds.join(thresholds, "query_id", "left").filter(
+        F.col("_least").isNull() | (F.col("_bound") >= F.col("_least") - margin)
+    )
+    return placed, kept, bounds
+
+
+def block_top_hits(
+    weighed: DataFrame, postings: DataFrame, n: int, key: str = "doc_key", range_docs: int = 4096, seed_ranges: int = 2
+) -> DataFrame:
+    """The ``n`` best documents per query by single-token clauses, exactly as
+    ``top_hits(bm25(match_clauses(..., phrases=False)))``, joining only the postings
+    of ranges that can hold one of them (see ``block_ranges``)."""
+    placed, kept, _ = block_ranges(weighed, postings, n, key, range_docs, seed_ranges)
+    return top_hits(_range_scores(weighed.filter("n_tokens = 1"), placed, kept, key), n, key)
+
+
 def bm25(matches: DataFrame, key: str = "doc_key") -> DataFrame:
     """``(query_id, key, score)``: boosted BM25, summed over the clauses."""
     freq = F.col("freq")

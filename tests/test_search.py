@@ -219,3 +219,23 @@ def test_stored_postings_are_pruned_by_bucket(spark, tmp_path, skew):
     postings_scans = [(n, s) for n, s in scans if "bucket" in s]
     assert postings_scans and all("dynamicpruningexpression" in s for _, s in postings_scans)
     assert all(0 < n <= all_files // 10 for n, _ in postings_scans)
+
+
+def test_block_top_hits_equal_top_hits_and_skip_ranges(spark):
+    filler = [f"f{i}" for i in range(50)]
+    rows = [
+        (k, "", " ".join(filler[(k + j) % 50] for j in range(30)) + (" w1" if k % 7 == 0 else "") + (" w2" if k % 11 == 0 else ""), "")
+        for k in range(3000)
+    ]
+    rows += [(5000 + k, "", "w1 w1 w1 w1 w2", "") for k in range(8)]
+    rows += [(None, "", "w1 w2 w3", ""), (6000, "", "", ""), (6001, "", "w3 w3 w3 w1", ""), (6002, "", "w3 w3 w3 w1", "")]
+    many = materialize(spark.createDataFrame(rows, "doc_key long, title string, content string, code string"))
+    tokens = tokens_of(spark, [(1, "content", "w1", 1), (1, "content", "w2", 1), (2, "content", "w3", 2), (3, "content", "f4 f5", 1), (4, "content", "w2", 1)])
+    index = searching.index_of(many, tokens, FIELDS, stem=False, phrases=False)
+    terms = materialize(index.terms)
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
+    want = search.top_hits(search.bm25(search.match_clauses(weighed, index.postings, terms, phrases=False)), 5)
+    got = search.block_top_hits(weighed, index.postings, 5, range_docs=100)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    _, kept, bounds = search.block_ranges(weighed, index.postings, 5, range_docs=100)
+    assert 0 < kept.count() < bounds.count() / 2
