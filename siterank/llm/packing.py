@@ -17,9 +17,11 @@ padding of a sequence is ``capacity`` minus the ``used`` ids in it.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -28,15 +30,47 @@ from pyspark.sql import functions as F
 
 from siterank.llm.tables import slices
 from siterank.operators.skew import running_sums
+from siterank.session import materialize
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: ASCII white space: the tokenizer's normalizer makes every run of it one space and its
+#: pre-tokenizer never keeps a space in a token, so a text's ids are those of its chunks.
+SPACE = re.compile(r"[\t\n\x0b\x0c\r ]+")
+#: Distinct chunks a worker remembers; beyond it starts afresh.
+REMEMBER = 1_000_000
+
+
+class ChunkEncoder:
+    """Ids of the tokenizers library for whole texts, each distinct chunk encoded once.
+
+    Exact for tokenizers whose normalizer replaces white space runs and whose
+    pre-tokenizer drops white space, such as word-level BPE with word ends; the
+    tests hold it against the library on whole texts.
+    """
 
-    return Tokenizer.from_file(path)
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        chunked = [[c for c in SPACE.split(t) if c] for t in texts]
+        new = list({c for chunks in chunked for c in chunks if c not in self.known})
+        if len(self.known) + len(new) > REMEMBER:
+            self.known = {}
+            new = list({c for chunks in chunked for c in chunks})
+        for chunk, coded in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
+            self.known[chunk] = tuple(coded.ids)
+        look = self.known.__getitem__
+        return [np.array(list(chain.from_iterable(map(look, chunks))), np.int64) for chunks in chunked]
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)
 
 
 def cut(ids: np.ndarray, capacity: int) -> list[tuple[int, int, int]]:
@@ -54,12 +88,12 @@ def token_pieces(docs: DataFrame, model: str, end_id: int, capacity: int) -> Dat
     special tokens of its own, then ``end_id``; a null text counts as empty."""
 
     def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(model)
+        encode = _encoder(model)
         for frame in slices(frames, "text", 4 << 20):
             texts = frame["text"].where(frame["text"].notna(), "").tolist()
             out = {"doc_id": [], "start": [], "length": [], "ids_crc32": [], "doc_tokens": []}
-            for doc_id, coded in zip(frame["doc_id"].tolist(), tokenizer.encode_batch(texts, add_special_tokens=False)):
-                ids = np.append(np.asarray(coded.ids, np.int64), end_id)
+            for doc_id, coded in zip(frame["doc_id"].tolist(), encode(texts)):
+                ids = np.append(coded, end_id)
                 for start, length, crc in cut(ids, capacity):
                     out["doc_id"].append(None if doc_id is None or doc_id != doc_id else int(doc_id))
                     out["start"].append(start)
@@ -120,4 +154,5 @@ def pack_documents(docs: DataFrame, model: str, end_id: int = 2, capacity: int =
     piece; an empty or null text is one piece of the end id alone.  Repeated rows are
     packed as separate documents.  Extra input columns are not read.
     """
-    return harmonic_pack(token_pieces(docs, model, end_id, capacity), capacity)
+    # Written once: the range sort of the ranks samples its input before it reads it.
+    return harmonic_pack(materialize(token_pieces(docs, model, end_id, capacity)), capacity)
