@@ -23,8 +23,9 @@ The first accepting path of the last round is the cheapest, and among the cheape
 the least in ASCII order, since a path is tried before its extensions and the edits
 in ASCII order.
 
-Conversations are the unit of work: each is searched in one task, with memory in
-proportion to its rows.
+Conversations are the unit of work: rows are hashed to tasks by conversation and
+sorted there, and a task streams through its conversations one at a time, with memory
+in proportion to the rows of one conversation.
 
 Fixed values of the contract: damage codes by ``crc32('conv_id:turn') % 20`` (0 drops,
 1 empties the text, 2 removes ``.!?``, 3 repeats the row, 4 sets the role user), white
@@ -57,6 +58,7 @@ SCHEMA = (
     "conv_id long, rows long, gaps long, blank long, duplicate long, truncated long, illegal long, "
     "cost long, audit string, repaired_sha256 string"
 )
+COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
 def damage(conversations: DataFrame) -> DataFrame:
@@ -131,17 +133,23 @@ def search(initials: list[str], must_go: list[bool], truncated: list[bool]) -> t
     A role of ``""`` keeps the row's own role, None deletes it.
     """
     n = len(initials)
-    # Admissible start: rows that must go cost 2 each; without a row left to keep, an
+    # Admissible start: the least any edit of a row can cost.  A row that must go costs
+    # 2, a truncated one 2 at least (deleted, or kept for 5), one without a role the
+    # grammar knows 1 at least (reroled or deleted).  Without a row left to keep, an
     # unfinished state needs one or two inserts.
-    must_after, free_after = [0] * (n + 1), [0] * (n + 1)
+    least_after, free_after = [0] * (n + 1), [0] * (n + 1)
     for i in range(n - 1, -1, -1):
-        must_after[i] = must_after[i + 1] + must_go[i]
+        if must_go[i] or truncated[i]:
+            least = DELETE
+        else:
+            least = 0 if initials[i] in ("s", "u", "a") else min(DELETE, REROLE)
+        least_after[i] = least_after[i + 1] + least
         free_after[i] = free_after[i + 1] + (not must_go[i])
     finish = {START: 0, SYSTEM: 2 * INSERT, USER: INSERT, ASSISTANT: 0}
     learned: dict[tuple[int, int], int] = {}
 
     def estimate(i: int, state: int) -> int:
-        static = DELETE * must_after[i] + (finish[state] if free_after[i] == 0 else 0)
+        static = least_after[i] + (finish[state] if free_after[i] == 0 else 0)
         return max(static, learned.get((i, state), 0))
 
     bound = estimate(0, START)
@@ -185,24 +193,11 @@ def search(initials: list[str], must_go: list[bool], truncated: list[bool]) -> t
         bound = beyond
 
 
-def repair_frame(frame: pd.DataFrame) -> pd.DataFrame:
-    """One conversation (all its rows, dropped ones flagged) to its row of the result."""
-    conv_id = frame["conv_id"].iloc[0]
-    live = frame[~frame["_gone"].astype(bool)]
-    rows = sorted(
-        zip(live["turn"], live["role"], live["text"]),
-        key=lambda r: (
-            r[0] is not None and not pd.isna(r[0]),
-            -1 if r[0] is None or pd.isna(r[0]) else int(r[0]),
-            r[1] is not None,
-            r[1] or "",
-            r[2] is not None,
-            r[2] or "",
-        ),
-    )
-    turns = [int(t) for t, _, _ in rows if t is not None and not pd.isna(t)]
-    roles = [r if isinstance(r, str) else None for _, r, _ in rows]
-    texts = [t if isinstance(t, str) else None for _, _, t in rows]
+def repair_one(conv_id, rows: list[tuple]) -> dict:
+    """One conversation's row of the result from its rows after damage, in order."""
+    turns = [t for t, _, _ in rows if t is not None]
+    roles = [r for _, r, _ in rows]
+    texts = [t for _, _, t in rows]
     found = faults(roles, texts)
     initials = [initial(r) for r in roles]
     illegal = sum(1 for a, b in zip(initials, initials[1:]) if a + b not in LEGAL)
@@ -215,20 +210,48 @@ def repair_frame(frame: pd.DataFrame) -> pd.DataFrame:
         if letter != "D":
             repaired.append(f"{role or roles[i]}:{texts[i]}")
         i += 1
-    return pd.DataFrame(
-        {
-            "conv_id": [None if pd.isna(conv_id) else int(conv_id)],
-            "rows": [len(rows)],
-            "gaps": [max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0],
-            "blank": [found.count("blank")],
-            "duplicate": [found.count("duplicate")],
-            "truncated": [found.count("truncated")],
-            "illegal": [illegal],
-            "cost": [cost],
-            "audit": ["".join(letter for letter, _ in path)],
-            "repaired_sha256": [hashlib.sha256("\n".join(repaired).encode("utf-8")).hexdigest()],
-        }
-    ).astype({"conv_id": "Int64"})
+    return {
+        "conv_id": conv_id,
+        "rows": len(rows),
+        "gaps": max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0,
+        "blank": found.count("blank"),
+        "duplicate": found.count("duplicate"),
+        "truncated": found.count("truncated"),
+        "illegal": illegal,
+        "cost": cost,
+        "audit": "".join(letter for letter, _ in path),
+        "repaired_sha256": hashlib.sha256("\n".join(repaired).encode("utf-8")).hexdigest(),
+    }
+
+
+def _value(x):
+    """None for a missing value of any kind, else the value."""
+    return None if x is None or (isinstance(x, float) and x != x) or x is pd.NA else x
+
+
+def repair_stream(frames):
+    """Rows sorted by conversation, then turn, role and text (nulls first), to results.
+
+    A conversation may go on from one batch to the next; it is held until its last row.
+    """
+    key, held, started = None, [], False
+    for frame in frames:
+        out = []
+        columns = [frame[c].tolist() for c in ("conv_id", "turn", "role", "text", "_gone")]
+        for conv_id, turn, role, text, gone in zip(*columns):
+            conv_id = _value(conv_id)
+            conv_id = None if conv_id is None else int(conv_id)
+            if started and conv_id != key:
+                out.append(repair_one(key, held))
+                held = []
+            key, started = conv_id, True
+            if not gone:
+                turn = _value(turn)
+                held.append((None if turn is None else int(turn), _value(role), _value(text)))
+        if out:
+            yield pd.DataFrame(out, columns=COLUMNS).astype({"conv_id": "Int64"})
+    if started:
+        yield pd.DataFrame([repair_one(key, held)], columns=COLUMNS).astype({"conv_id": "Int64"})
 
 
 def repair_conversations(conversations: DataFrame) -> DataFrame:
@@ -246,5 +269,6 @@ def repair_conversations(conversations: DataFrame) -> DataFrame:
     rows have empty text), of the empty string when no row stays.  Extra input columns
     are not read.
     """
-    damaged = damage(conversations)
-    return damaged.groupBy("conv_id").applyInPandas(repair_frame, SCHEMA)
+    order = [F.col(c).asc_nulls_first() for c in ("conv_id", "turn", "role", "text")]
+    damaged = damage(conversations).repartition("conv_id").sortWithinPartitions(*order)
+    return damaged.mapInPandas(repair_stream, SCHEMA)
