@@ -126,16 +126,20 @@ def blocks(contrib: DataFrame, block_docs: int, top: int) -> tuple[DataFrame, Da
     return members, summaries, vectors.drop("top", "rest")
 
 
-def item_vectors(items: DataFrame, contrib: DataFrame) -> DataFrame:
-    """``(item_id, term, query)``: every distinct term of an item with the item's whole
-    vector of ``(term, q, gmax)``, ``gmax`` the largest contribution of the term."""
-    asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.explode(terms("text")).alias("term"))
-    q = asked.groupBy("item_id", "term").agg(F.count(F.lit(1)).cast("long").alias("q"))
+def item_vectors(items: DataFrame, contrib: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(_inull, _item, term)`` for every distinct term of an item, and ``(_inull, _item,
+    query)``: the item's whole vector of ``(term, q, gmax)``, ``gmax`` the largest
+    contribution of the term.  ``(_inull, _item)`` is the item id with nulls as a key."""
+    keyed = items.select(
+        F.col("item_id").isNull().alias("_inull"),
+        F.coalesce(F.col("item_id").cast("long"), F.lit(0)).alias("_item"),
+        F.explode(terms("text")).alias("term"),
+    )
+    q = keyed.groupBy("_inull", "_item", "term").agg(F.count(F.lit(1)).cast("long").alias("q"))
     gmax = contrib.groupBy("term").agg(F.max("c").alias("gmax"))
     with_max = q.join(gmax, "term", "left").withColumn("gmax", F.coalesce("gmax", F.lit(0)))
-    vector = with_max.groupBy("item_id").agg(F.collect_list(F.struct("term", "q", "gmax")).alias("query"))
-    pairs = q.select("item_id", "term").alias("p")
-    return pairs.join(vector.alias("v"), F.col("p.item_id").eqNullSafe(F.col("v.item_id"))).select("p.item_id", "term", "query")
+    vector = with_max.groupBy("_inull", "_item").agg(F.collect_list(F.struct("term", "q", "gmax")).alias("query"))
+    return q.select("_inull", "_item", "term"), vector
 
 
 def score_of(query: Column, vector: Column) -> Column:
@@ -165,44 +169,53 @@ def search(
     asked_terms = items.select(F.explode(terms("text")).alias("term")).distinct()
     contrib = materialize(weights(index, asked_terms))
     members, summaries, vectors = blocks(contrib, block_docs, top)
-    queries = materialize(item_vectors(items.select("item_id", "text"), contrib))
+    pairs, whole = item_vectors(items.select("item_id", "text"), contrib)
+    # One row per item: as many rows as the benchmark has items, broadcast where they fit.
+    whole = materialize(whole)
+    item = ["_inull", "_item"]
+
+    # The vector of an item is joined to its blocks for the bound and left out after.
+    bounded = materialize(
+        salted_join(pairs.join(summaries, "term"), whole, item, ["term", "block"])
+        .select(*item, "term", "block", bound_of(F.col("query"), F.col("term")).alias("bound"))
+        .filter("bound > 0")
+    )
+
+    def scores(blocks_of_items: DataFrame) -> DataFrame:
+        found = (
+            blocks_of_items.join(members.select("term", "block", "_row"), ["term", "block"])
+            .select(*item, "_row")
+            .dropDuplicates([*item, "_row"])
+            .join(vectors, "_row")
+        )
+        with_query = salted_join(found, whole, item, ["_row"])
+        return with_query.select(*item, "doc_id", "_row", score_of(F.col("query"), F.col("vector")).alias("score")).filter(
+            "score > 0"
+        )
 
-    bounded = queries.join(summaries, "term").select(
-        "item_id", "term", "block", "query", bound_of(F.col("query"), F.col("term")).alias("bound")
-    ).filter("bound > 0")
-    bounded = materialize(bounded)
-    best = Window.partitionBy("item_id").orderBy(F.desc("bound"), "term", "block")
+    best = Window.partitionBy(*item).orderBy(F.desc("bound"), "term", "block")
     seeds = bounded.withColumn("_r", F.row_number().over(best)).filter(F.col("_r") <= seed_blocks)
-    seed_docs = (
-        seeds.join(members.select("term", "block", "_row"), ["term", "block"])
-        .select("item_id", "query", "_row")
-        .dropDuplicates(["item_id", "_row"])
-        .join(vectors, "_row")
-        .select("item_id", score_of(F.col("query"), F.col("vector")).alias("score"))
-        .filter("score > 0")
-    )
-    kth = Window.partitionBy("item_id").orderBy(F.desc("score"))
+    kth = Window.partitionBy(*item).orderBy(F.desc("score"))
     thresholds = (
-        seed_docs.withColumn("_r", F.row_number().over(kth))
+        scores(seeds)
+        .withColumn("_r", F.row_number().over(kth))
         .filter(F.col("_r") == k)
-        .select("item_id", F.col("score").alias("threshold"))
+        .select(*item, F.col("score").alias("threshold"))
     )
     kept = (
-        bounded.join(thresholds, "item_id", "left")
+        bounded.join(thresholds, item, "left")
         .filter(F.col("bound") >= F.coalesce("threshold", F.lit(1)))
-        .select("item_id", "term", "block", "query")
-    )
-    candidates = (
-        kept.join(members.select("term", "block", "_row"), ["term", "block"])
-        .select("item_id", "query", "_row")
-        .dropDuplicates(["item_id", "_row"])
+        .select(*item, "term", "block")
     )
-    scored = candidates.join(vectors, "_row").select(
-        "item_id", "doc_id", "_row", score_of(F.col("query"), F.col("vector")).alias("score")
-    ).filter("score > 0")
-    order = Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "_row")
+    order = Window.partitionBy(*item).orderBy(F.desc("score"), F.asc_nulls_first("doc_id"), "_row")
     return (
-        scored.withColumn("rank", F.row_number().over(order))
+        scores(kept)
+        .withColumn("rank", F.row_number().over(order))
         .filter(F.col("rank") <= k)
-        .select("item_id", F.col("rank").cast("int"), "doc_id", "score")
+        .select(
+            F.when(~F.col("_inull"), F.col("_item")).alias("item_id"),
+            F.col("rank").cast("int"),
+            "doc_id",
+            "score",
+        )
     )
