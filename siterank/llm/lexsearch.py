@@ -46,11 +46,19 @@ def terms(text: Column | str) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(TERM), 0)
 
 
-def counted(sorted_terms: Column) -> Column:
-    """``(term, tf)`` of a sorted array of terms, counted inside the row."""
-    starts = F.array_compact(
+def run_starts(sorted_terms: Column) -> Column:
+    """Indexes where a new term begins in a sorted array of terms."""
+    return F.array_compact(
         F.transform(sorted_terms, lambda t, i: F.when((i == 0) | (F.get(sorted_terms, i - 1) != t), i))
     )
+
+
+def counted(sorted_terms: Column, starts: Column) -> Column:
+    """``(term, tf)`` of a sorted array of terms and its ``run_starts``, counted inside the row.
+
+    Both must be columns of the row, not expressions, or Spark computes them again for
+    every element.
+    """
     return F.transform(
         starts,
         lambda s, j: F.struct(
@@ -67,17 +75,13 @@ def postings(docs: DataFrame) -> DataFrame:
     document's distinct terms, its place among alike documents.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.array_sort(terms("text")).alias("_terms"))
-    rows = rows.withColumn("_row", F.monotonically_increasing_id())
-    hashed = [F.array_min(F.transform(F.array_distinct("_terms"), lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in (1, 2)]
+    rows = rows.withColumn("_row", F.monotonically_increasing_id()).withColumn("_starts", run_starts(F.col("_terms")))
+    # The least hash of any term is that of the distinct terms: repeats change no minimum.
+    hashed = [F.array_min(F.transform("_terms", lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in (1, 2)]
+    # Made before the explode: beside a generator they would be made again for every posting.
+    rows = rows.withColumns({"n": F.size("_terms").cast("long"), "_mh1": hashed[0], "_mh2": hashed[1]})
     return materialize(
-        rows.select(
-            "_row",
-            "doc_id",
-            F.size("_terms").cast("long").alias("n"),
-            hashed[0].alias("_mh1"),
-            hashed[1].alias("_mh2"),
-            F.inline(counted(F.col("_terms"))),
-        )
+        rows.select("_row", "doc_id", "n", "_mh1", "_mh2", F.inline(counted(F.col("_terms"), F.col("_starts"))))
     )
 
 
