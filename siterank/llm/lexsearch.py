@@ -69,7 +69,7 @@ def counted(sorted_terms: Column, starts: Column) -> Column:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """``(_row, doc_id, n, _mh1, _mh2, term, tf)`` of every document, materialized.
+    """``(_row, doc_id, n, _mh1, _mh2, term, tf)`` of every document, not written.
 
     ``_row`` tells repeated rows apart; ``_mh1, _mh2`` are MinHash values of the
     document's distinct terms, its place among alike documents.
@@ -80,16 +80,23 @@ def postings(docs: DataFrame) -> DataFrame:
     hashed = [F.array_min(F.transform("_terms", lambda t, s=s: F.xxhash64(t, F.lit(s)))) for s in (1, 2)]
     # Made before the explode: beside a generator they would be made again for every posting.
     rows = rows.withColumns({"n": F.size("_terms").cast("long"), "_mh1": hashed[0], "_mh2": hashed[1]})
-    return materialize(
-        rows.select("_row", "doc_id", "n", "_mh1", "_mh2", F.inline(counted(F.col("_terms"), F.col("_starts"))))
-    )
+    return rows.select("_row", "doc_id", "n", "_mh1", "_mh2", F.inline(counted(F.col("_terms"), F.col("_starts"))))
+
+
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """``N`` (documents with a term) and ``L`` (all their terms), from the term counts alone."""
+    n = F.size(terms("text"))
+    row = docs.agg(F.count_if(n > 0).alias("N"), F.sum(n).alias("L")).first()
+    return int(row["N"] or 0), int(row["L"] or 0)
 
 
-def weights(index: DataFrame, asked: DataFrame) -> DataFrame:
-    """``(_row, doc_id, term, c)``: contributions of the asked terms in every document."""
-    totals = index.agg(F.count_distinct("_row").alias("N"), F.sum(F.col("tf")).alias("L")).first()
-    n_docs, n_terms = int(totals["N"]), int(totals["L"] or 0)
-    kept = salted_join(index, asked, ["term"], ["_row"], "left_semi")
+def weights(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """``(_row, doc_id, term, c)``: contributions of the asked terms in every document.
+
+    Only the postings of asked terms are kept and written; ``_row`` is fixed there.
+    """
+    n_docs, n_terms = totals(docs)
+    kept = materialize(salted_join(postings(docs), asked, ["term"], ["_row"], "left_semi"))
     df = kept.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     w = F.floor(F.lit(1000.0) * F.log((2.0 * n_docs + 2.0) / (2.0 * F.col("df") + 1.0))).cast("long")
     m = F.lit(25) + div(F.lit(75) * F.col("n") * F.lit(n_docs), F.lit(max(n_terms, 1)))
@@ -169,9 +176,8 @@ def search(
     one item with the terms of all.  Only ``doc_id, text`` and
     ``item_id, text`` are read; other columns are left out.
     """
-    index = postings(docs.select("doc_id", "text"))
     asked_terms = items.select(F.explode(terms("text")).alias("term")).distinct()
-    contrib = materialize(weights(index, asked_terms))
+    contrib = materialize(weights(docs.select("doc_id", "text"), asked_terms))
     members, summaries, vectors = blocks(contrib, block_docs, top)
     pairs, whole = item_vectors(items.select("item_id", "text"), contrib)
     # One row per item: as many rows as the benchmark has items, broadcast where they fit.
