@@ -154,3 +154,15 @@ def test_crawl_files_keep_their_order_when_parallelism_changes(spark, tmp_path):
     assert sorted(tuple(r) for r in found) == sorted((f"http://site{f}.com/{i}", f"text {f} {i}") for f in range(6) for i in range(9))
     in_file = crawl.orderBy("crawl_file", "ord").select("crawl_domain", "url").collect()
     assert [tuple(r) for r in in_file] == [(f"site{f}.com", f"http://site{f}.com/{i}") for f in range(6) for i in range(9)]
+
+
+def test_pages_are_parsed_in_slices_of_bounded_bytes():
+    import pyarrow as pa
+
+    from siterank.functions.html import page_slices
+
+    html = ["a" * 30, None, "b" * 80, "", "c" * 500, "é" * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(html)], names=["page_id", "html"])
+    slices = [s.column(1).to_pylist() for s in page_slices(batch, 1, size=100)]
+    assert slices == [html[:2], html[2:4], html[4:5], html[5:]]
+    assert [s.num_rows for s in page_slices(batch.slice(0, 0), 1)] == [0]
