@@ -13,12 +13,14 @@ from siterank.functions.stemming import stem_tokens
 from siterank.operators.postings import analyzed
 from siterank.operators.skew import rank_by_group, salted_join
 from siterank.schemas import SEARCH_FIELDS
-from siterank.session import broadcast_limit, estimated_bytes
+from siterank.session import broadcast_limit, estimated_bytes, materialize
 from siterank.sources.index import term_bucket
 
 # Fixed values of the ranking formula.
 BM25_K1 = 1.2
 BM25_B = 0.75
+# Matches of clauses in documents that one task adds up.
+MATCH_ROWS = 1_000_000
 
 
 def valid_queries(queries: DataFrame, raw: str = "raw") -> DataFrame:
@@ -117,9 +119,11 @@ def match_clauses(
 
     Clauses within the broadcast limit meet postings that were brought together by
     document before: each posting of an asked term moves once, and what clauses make
-    of it is summed up where it is.  For more clauses, frequent terms are split by
-    document; ``terms`` tells how frequent they are.  Stored postings have a ``bucket``
-    per term: the clauses carry the same, so only the asked buckets are read.
+    of it is summed up where it is.  The matches are counted before, and as many tasks
+    are made that each has about ``MATCH_ROWS`` of them, however large the index is.
+    For more clauses, frequent terms are split by document; ``terms`` tells how frequent
+    they are.  Stored postings have a ``bucket`` per term: the clauses carry the same, so
+    only the asked buckets are read.
     """
     on = ["field", "term"]
     if "bucket" in postings.columns:
@@ -132,41 +136,51 @@ def match_clauses(
     limit = skew.get("broadcast_bytes")
     limit = broadcast_limit(postings.sparkSession) if limit is None else limit
     few = estimated_bytes(weighed) <= limit
+    skew["counts"] = terms.select(*on, F.col("df").alias("n"))
+
+    singles = weighed.filter("n_tokens = 1")
     if few:
-        asked = F.broadcast(weighed.select(*on).distinct())
-        by_document = postings.join(asked, on, "left_semi").repartition(key)
-
-    def matches(clauses: DataFrame) -> DataFrame:
-        if few:
-            joined = by_document.join(F.broadcast(clauses), on)
-        else:
-            joined = salted_join(
-                postings,
-                clauses,
-                on,
-                [key],
-                counts=terms.select(*on, F.col("df").alias("n")),
-                **skew,
-            )
-        return joined.withColumn("norm", BM25_K1 * length)
-
-    # The postings of a term in a document are few rows, one per chunk: bring all
-    # clauses of a query and document together at once.
-    single = matches(weighed.filter("n_tokens = 1")).select(*clause, *facts, "tf")
-    if not few:
-        single = single.repartition("query_id", key)
-    single = single.groupBy(*clause).agg(F.sum("tf").alias("freq"), *kept)
+        # A document's postings of a term, one per chunk, are added up before clauses multiply them.
+        asked = F.broadcast(singles.select(*on).distinct())
+        by_document = (
+            postings.join(asked, on, "left_semi")
+            .repartition(match_tasks(singles, terms, on), key)
+            .groupBy(*on, key)
+            .agg(F.sum("tf").alias("freq"), F.any_value("field_len").alias("field_len"))
+        )
+        single = by_document.join(F.broadcast(singles), on).withColumn("norm", BM25_K1 * length)
+        single = single.select(*clause, "freq", *facts)
+    else:
+        # The postings of a term in a document are few rows, one per chunk: bring all
+        # clauses of a query and document together at once.
+        joined = salted_join(postings, singles, on, [key], **skew).withColumn("norm", BM25_K1 * length)
+        single = joined.select(*clause, *facts, "tf").repartition("query_id", key)
+        single = single.groupBy(*clause).agg(F.sum("tf").alias("freq"), *kept)
     if not phrases:
         return single
-    # A phrase starts where all of its tokens agree on the place of the first.  The
-    # postings of a clause and document meet in one row; a document that lacks one of
-    # the tokens drops out before any position is read, and the others intersect the
-    # start places of their tokens inside the row, rarest token first.
-    phrase = matches(weighed.filter("n_tokens > 1"))
-    if not few:
-        phrase = phrase.repartition("query_id", key)
+    # A phrase starts where all of its tokens agree on the place of the first.  Only the
+    # documents of its rarest token are looked up for the others: no list of a frequent
+    # token is multiplied by the phrases it stands in.  The postings of a clause and
+    # document meet in one row; a document that lacks one of the tokens drops out, and
+    # the others intersect the start places of their tokens inside the row.
+    candidates = salted_join(
+        postings.filter("is_first").select(*on, key),
+        materialize(rarest_tokens(weighed.filter("n_tokens > 1"), terms, on)),
+        on,
+        [key],
+        **skew,
+    )
+    # Written so that its true size decides whether the postings have to move.
+    wanted = materialize(
+        candidates.select("query_id", "clause", F.col(key).alias("_key"), "n_tokens", "gain", "mean_len", F.inline("_tokens"))
+    )
+    vocabulary_of = weighed.filter("n_tokens > 1").select(*on).distinct()
+    held = salted_join(postings, vocabulary_of, on, [key], "left_semi", **skew).select(*on, key, "field_len", "positions")
+    same = [F.col("_field") == F.col("field"), F.col("_term") == F.col("term"), F.col("_key").eqNullSafe(F.col(key))]
     phrase = (
-        phrase.groupBy(*clause)
+        held.join(wanted, same)
+        .withColumn("norm", BM25_K1 * length)
+        .groupBy(*clause)
         .agg(
             F.collect_list(F.struct("i", "positions")).alias("_places"),
             F.any_value("n_tokens").alias("n_tokens"),
@@ -180,6 +194,27 @@ def match_clauses(
     return single.unionByName(phrase)
 
 
+def match_tasks(clauses: DataFrame, terms: DataFrame, on: Sequence[str], rows: int = MATCH_ROWS) -> int:
+    """Tasks that have about ``rows`` matches each: a clause has one per document of its term."""
+    matches = clauses.join(terms.select(*on, "df"), list(on)).agg(F.sum("df")).first()[0]
+    return max(1, -(-int(matches or 0) // rows))
+
+
+def rarest_tokens(clauses: DataFrame, terms: DataFrame, on: Sequence[str]) -> DataFrame:
+    """A row per clause: its rarest token as ``on`` and all of them in ``_tokens``."""
+    token = F.struct(*[F.col(c) for c in on])
+    return (
+        clauses.join(terms.select(*on, "df"), list(on), "left")
+        .groupBy("query_id", "clause")
+        .agg(
+            F.min_by(token, F.struct(F.coalesce("df", F.lit(0)), "i")).alias("_rarest"),
+            F.collect_list(F.struct("i", F.col("field").alias("_field"), F.col("term").alias("_term"))).alias("_tokens"),
+            *[F.any_value(c).alias(c) for c in ("n_tokens", "gain", "mean_len")],
+        )
+        .select("query_id", "clause", "_rarest.*", "_tokens", "n_tokens", "gain", "mean_len")
+    )
+
+
 def phrase_count(places, n_tokens):
     """Places where token ``i`` stands ``i`` after the first, for every token of a phrase.
 

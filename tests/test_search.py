@@ -239,3 +239,39 @@ def test_block_top_hits_equal_top_hits_and_skip_ranges(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     _, kept, bounds = search.block_ranges(weighed, index.postings, 5, range_docs=100)
     assert 0 < kept.count() < bounds.count() / 2
+
+
+def test_tasks_grow_with_matches(spark, monkeypatch):
+    """No task adds up more matches than its share, and the shares change no result."""
+    rows = [(k, "", "common words " + f"w{k % 5}", "") for k in range(200)] + [(None, "", "common w1", "")]
+    many = materialize(spark.createDataFrame(rows, "doc_key long, title string, content string, code string"))
+    tokens = tokens_of(spark, [(q, "content", t, 1) for q in range(10) for t in ("common", "words", f"w{q % 5}")])
+    index = searching.index_of(many, tokens, FIELDS, stem=False, phrases=False)
+    terms = materialize(index.terms)
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
+    assert search.match_tasks(weighed, terms, ["field", "term"], rows=100) == 45  # 10 * (201 + 200) + 10 * 40 + 2
+
+    def matches():
+        return search.match_clauses(weighed, index.postings, terms, phrases=False)
+
+    want = sorted(map(tuple, matches().collect()), key=str)
+    tasks = search.match_tasks
+    monkeypatch.setattr(search, "match_tasks", lambda *a: tasks(*a, rows=100))
+    assert matches().rdd.getNumPartitions() == 45
+    assert sorted(map(tuple, matches().collect()), key=str) == want and len(want) == 4412
+
+
+@pytest.mark.parametrize("skew", [{}, {"broadcast_bytes": -1, "share": 0.05, "min_rows": 1}])
+def test_phrases_look_up_only_documents_of_their_rarest_token(spark, skew):
+    """Frequent tokens are not multiplied by the phrases they stand in; null keys match."""
+    rows = [(k, "", "of the of the", "") for k in range(300)]
+    rows += [(1000, "", "king of the hill of the king of the", ""), (None, "", "the king of the", ""), (1001, "", "of king the", "")]
+    many = materialize(spark.createDataFrame(rows, "doc_key long, title string, content string, code string"))
+    tokens = tokens_of(spark, [(q, "content", "king of the", 1) for q in range(20)] + [(20, "content", "of the of", 1)])
+    index = searching.index_of(many, tokens, FIELDS, stem=False)
+    terms = materialize(index.terms)
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
+    rarest = search.rarest_tokens(weighed, terms, ["field", "term"])
+    assert {(r["query_id"], r["term"]) for r in rarest.collect()} == {(q, "king") for q in range(20)} | {(20, "of")}
+    got = {(r["query_id"], r["doc_key"]): r["freq"] for r in search.match_clauses(weighed, index.postings, terms, **skew).collect()}
+    assert got == {(q, k): n for q in range(20) for k, n in ((1000, 2), (None, 1))} | {(20, k): 1 for k in range(300)}
