@@ -233,11 +233,27 @@ def phrase_count(places, n_tokens):
 
 
 def _range_scores(singles: DataFrame, placed: DataFrame, ranges: DataFrame, key: str) -> DataFrame:
-    """BM25 of single-token clauses in the given ``(query_id, _range)`` only."""
+    """BM25 of single-token clauses in the given ``(query_id, _range)`` only.
+
+    Clauses and ranges within the broadcast limit meet the postings of the asked ranges
+    by document, as in ``match_clauses``: matches are never moved.
+    """
     length = (1 - BM25_B) + BM25_B * F.col("field_len") / F.col("mean_len")
-    clauses = singles.join(ranges.select("query_id", "_range"), "query_id")
-    rows = placed.drop("mean_len").join(clauses, ["field", "term", "_range"])
-    matches = rows.groupBy("query_id", key, "clause").agg(
+    on, clause = ["field", "term"], ["query_id", key, "clause"]
+    ranges = materialize(ranges.select("query_id", "_range"))
+    if max(estimated_bytes(singles), estimated_bytes(ranges)) <= broadcast_limit(placed.sparkSession):
+        held = placed.join(F.broadcast(ranges.select("_range").distinct()), "_range", "left_semi")
+        found = held.groupBy(*on).agg(F.count(F.lit(1)).alias("df"))
+        by_document = (
+            held.repartition(match_tasks(singles, found, on), key)
+            .groupBy(*on, key, "_range")
+            .agg(F.sum("tf").alias("freq"), F.any_value("field_len").alias("field_len"))
+        )
+        rows = by_document.join(F.broadcast(singles), on).join(F.broadcast(ranges), ["query_id", "_range"])
+        return bm25(rows.select(*clause, "freq", "gain", (BM25_K1 * length).alias("norm")), key)
+    clauses = singles.join(ranges, "query_id")
+    rows = placed.drop("mean_len").join(clauses, [*on, "_range"])
+    matches = rows.groupBy(*clause).agg(
         F.sum("tf").alias("freq"), F.any_value("gain").alias("gain"), F.any_value(BM25_K1 * length).alias("norm")
     )
     return bm25(matches, key)
