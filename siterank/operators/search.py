@@ -176,6 +176,10 @@ def match_clauses(
     )
     vocabulary_of = weighed.filter("n_tokens > 1").select(*on).distinct()
     held = salted_join(postings, vocabulary_of, on, [key], "left_semi", **skew).select(*on, key, "field_len", "positions")
+    # If the documents to look up are few enough, the postings of all others stay where they are.
+    looked_up = materialize(wanted.select(F.col("_key").alias("_doc")).distinct())
+    if estimated_bytes(looked_up) <= limit:
+        held = held.join(F.broadcast(looked_up), F.col(key).eqNullSafe(F.col("_doc")), "left_semi")
     same = [F.col("_field") == F.col("field"), F.col("_term") == F.col("term"), F.col("_key").eqNullSafe(F.col(key))]
     phrase = (
         held.join(wanted, same)
