@@ -17,6 +17,7 @@ padding of a sequence is ``capacity`` minus the ``used`` ids in it.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -38,34 +39,107 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: ASCII white space: the tokenizer's normalizer makes every run of it one space and its
 #: pre-tokenizer never keeps a space in a token, so a text's ids are those of its chunks.
 SPACE = re.compile(r"[\t\n\x0b\x0c\r ]+")
-#: Distinct chunks a worker remembers; beyond it starts afresh.
+#: The normalizers and the pre-tokenizer whose words ``WORDS`` finds as well, in lower-cased
+#: texts of ``LATIN`` characters: none of them composes with another.
+NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LATIN = re.compile("[\x00-\x7f\xc0-\xd6\xd8-\xf6\xf8-\xff]*")
+WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\t\n\x0b\x0c\r 0-9a-z\xdf-\xf6\xf8-\xff]+")
+#: Distinct words a worker remembers; beyond it starts afresh.
 REMEMBER = 1_000_000
+#: New words that are encoded as one text.
+JOINED = 1_000
 
 
-class ChunkEncoder:
-    """Ids of the tokenizers library for whole texts, each distinct chunk encoded once.
+class Numbers(dict):
+    """Numbers of words in the order they came, the last of them in ``new``."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
 
-    Exact for tokenizers whose normalizer replaces white space runs and whose
-    pre-tokenizer drops white space, such as word-level BPE with word ends; the
-    tests hold it against the library on whole texts.
+
+class ChunkEncoder:
+    """Ids of the tokenizers library for whole texts, each distinct word encoded once.
+
+    A text is taken as its chunks between white space.  Exact for tokenizers whose
+    normalizer replaces white space runs and whose pre-tokenizer drops white space, such
+    as word-level BPE with word ends; the tests hold it against the library on whole
+    texts.  With the pre-tokenizer ``PATTERN``, chunks of ``LATIN`` characters are taken
+    as its words: far fewer are distinct, since case and punctuation no longer tell them
+    apart.  Chunks of others, and texts that hold an added token, stay whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.added = [token.content for token in self.library.get_added_tokens_decoder().values()]
+        rules = json.loads(self.library.to_str())
+        steps = (rules["normalizer"] or {}).get("normalizers", [])
+        first = ((rules["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0]
+        self.by_words = [x["type"] for x in steps] == NORMALIZERS and first.get("pattern") == {"Regex": PATTERN}
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.ids, self.bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
+
+    def words(self, text: str) -> list[str]:
+        if not self.by_words or any(token in text for token in self.added):
+            return [c for c in SPACE.split(text) if c]
+        if LATIN.fullmatch(text):
+            return WORDS.findall(text.lower())
+        found: list[str] = []
+        for chunk in SPACE.split(text):
+            if LATIN.fullmatch(chunk):
+                found += WORDS.findall(chunk.lower())
+            else:
+                found.append(chunk)
+        return found
+
+    def encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words and how many of them each has.
+
+        Words of ``WORDS`` make one text by the thousand, whose encoding tells them apart.
+        """
+        plain = [bool(self.by_words and LATIN.fullmatch(w) and WORDS.fullmatch(w)) for w in words]
+        whole, alone = [i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if not p]
+        joined = [whole[i : i + JOINED] for i in range(0, len(whole), JOINED)]
+        coded = self.library.encode_batch([" ".join([words[i] for i in part]) for part in joined], add_special_tokens=False)
+        owner, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for part, x in zip(joined, coded):
+            of = np.array(x.word_ids, np.int64)
+            if len(of) and np.array_equal(np.unique(of), np.arange(len(part))):
+                owner.append(np.array(part)[of])
+                ids.append(np.array(x.ids, np.int64))
+            else:
+                alone += part
+        for i, x in zip(alone, self.library.encode_batch([words[i] for i in alone], add_special_tokens=False)):
+            owner.append(np.full(len(x.ids), i))
+            ids.append(np.array(x.ids, np.int64))
+        of = np.concatenate(owner)
+        return np.concatenate(ids)[np.argsort(of, kind="stable")], np.bincount(of, minlength=len(words))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        chunked = [[c for c in SPACE.split(t) if c] for t in texts]
-        new = list({c for chunks in chunked for c in chunks if c not in self.known})
-        if len(self.known) + len(new) > REMEMBER:
-            self.known = {}
-            new = list({c for chunks in chunked for c in chunks})
-        for chunk, coded in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-            self.known[chunk] = tuple(coded.ids)
-        look = self.known.__getitem__
-        return [np.array(list(chain.from_iterable(map(look, chunks))), np.int64) for chunks in chunked]
+        if len(self.number) > REMEMBER:
+            self.forget()
+        found = [self.words(t) for t in texts]
+        n = np.array([len(words) for words in found], np.int64)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(found)), np.int64, int(n.sum()))
+        if self.number.new:
+            ids, counts = self.encoded(self.number.new)
+            self.ids = np.concatenate([self.ids, ids])
+            self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(counts)])
+            self.number.new = []
+        sizes = np.diff(self.bounds)[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.ids[np.repeat(self.bounds[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        return np.split(ids, ends[np.cumsum(n)][:-1]) if texts else []
 
 
 @lru_cache(maxsize=2)
