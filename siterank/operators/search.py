@@ -327,18 +327,22 @@ def top_hits(scores: DataFrame, n: int, key: str = "doc_key") -> DataFrame:
     return rank_by_group(scores, ["query_id"], [F.desc("score"), F.asc(key)], n, [key])
 
 
-def with_columns_of(
-    hits: DataFrame, docs: DataFrame, columns: Sequence[str], key: str = "doc_key", **skew
-) -> DataFrame:
-    """Look up stored columns of the hits; a document many queries hit is no hot spot.
+def hit_documents(hits: DataFrame, docs: DataFrame, columns: Sequence[str], key: str = "doc_key") -> DataFrame:
+    """Stored columns, without documents that nobody hit if the hits are within the broadcast limit.
 
-    Hits are few rows per query.  If they are within the broadcast limit, documents that
-    nobody hit are dropped at the scan and their texts never move.
+    They are dropped at the scan and their texts never move.
     """
     stored = docs.select(key, *columns)
     if estimated_bytes(hits) <= broadcast_limit(hits.sparkSession):
         stored = stored.join(F.broadcast(hits.select(key).distinct()), key, "left_semi")
-    return salted_join(hits, stored, [key], ["query_id"], **skew)
+    return stored
+
+
+def with_columns_of(
+    hits: DataFrame, docs: DataFrame, columns: Sequence[str], key: str = "doc_key", **skew
+) -> DataFrame:
+    """Look up stored columns of the hits; a document many queries hit is no hot spot."""
+    return salted_join(hits, hit_documents(hits, docs, columns, key), [key], ["query_id"], **skew)
 
 
 def dedupe_titles(hits: DataFrame) -> DataFrame:
@@ -366,16 +370,21 @@ def snippet_terms(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     )
 
 
-def snippets(
-    hits: DataFrame, terms: DataFrame, fields: dict[str, bool] = SEARCH_FIELDS, stem: bool = True
-) -> DataFrame:
-    """Add ``snippet`` to the final hits, from the content or else from the code."""
+def with_snippet_terms(hits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Add the weighted terms of the query for the content and the code, as ``snippets`` takes them."""
     for field in ("content", "code"):
         of_field = terms.filter(F.col("field") == field).select(
             "query_id", F.col("terms").alias(f"_{field}_terms")
         )
+        hits = hits.join(of_field, "query_id", "left")
+    return hits
+
+
+def snippets(hits: DataFrame, fields: dict[str, bool] = SEARCH_FIELDS, stem: bool = True) -> DataFrame:
+    """Add ``snippet`` to the final hits, from the content or else from the code."""
+    for field in ("content", "code"):
         best = snippet_udf(stem and fields[field])(field, f"_{field}_terms")
-        hits = hits.join(of_field, "query_id", "left").withColumn(f"_{field}_snippet", best)
+        hits = hits.withColumn(f"_{field}_snippet", best)
     return hits.withColumn(
         "snippet", F.coalesce(F.nullif("_content_snippet", F.lit("")), "_code_snippet")
     ).drop("_content_terms", "_code_terms", "_content_snippet", "_code_snippet")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siterank.operators import postings as postings_ops
-from siterank.operators import queryprep, search
+from siterank.operators import blocksearch, queryprep, search
 from siterank.operators.queryprep import Dictionaries
 from siterank.operators.skew import salted_join
 from siterank.schemas import SEARCH_FIELDS
@@ -53,14 +53,27 @@ def index_of(
     )
 
 
-def hits(
+def many_hits(
     tokens: DataFrame, index: SearchIndex, n: int, key: str = "doc_key", phrases: bool = True
+) -> DataFrame:
+    """The ``n`` best of very many queries: their matches are never moved."""
+    terms = materialize(index.terms.join(search.vocabulary(tokens), ["field", "term"]))
+    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
+    return blocksearch.blocked_top_hits(weighed, index.postings, terms, n, key, phrases)
+
+
+def hits(
+    tokens: DataFrame, index: SearchIndex, n: int, key: str = "doc_key", phrases: bool = True, many: bool = False
 ) -> DataFrame:
     """``(query_id, rank, key, score, url, title)``: the ``n`` best, one per title.
 
     Twice as many are ranked first; equal titles among them give way to the best.
+    ``many`` is for queries that are as many as the documents.
     """
-    ranked = materialize(search.top_hits(scores(tokens, index, key, phrases), 2 * n, key))
+    if many:
+        ranked = materialize(many_hits(tokens, index, 2 * n, key, phrases))
+    else:
+        ranked = materialize(search.top_hits(scores(tokens, index, key, phrases), 2 * n, key))
     titled = search.with_columns_of(ranked, index.docs, ["url", "title"], key)
     return search.limit_per_query(search.dedupe_titles(titled), n)
 
@@ -68,15 +81,16 @@ def hits(
 def rendered(
     found: DataFrame, tokens: DataFrame, index: SearchIndex, key: str = "doc_key", stem: bool = True
 ) -> DataFrame:
-    """Hits with snippets, which are made for these hits only."""
+    """Hits with snippets, which are made for these hits only.
+
+    The terms of the queries go to the texts: a text is moved once, however many hits
+    it is, and read by them where it is.
+    """
     terms = index.terms.join(search.vocabulary(tokens), ["field", "term"])
-    bodies = materialize(
-        search.with_columns_of(materialize(found), index.docs, ["content", "code"], key),
-        spread_by=key,
-    )
-    return search.render_hits(
-        search.snippets(bodies, search.snippet_terms(tokens, terms), stem=stem)
-    )
+    found = materialize(found)
+    asked = materialize(search.with_snippet_terms(found, search.snippet_terms(tokens, terms)))
+    texts = search.hit_documents(found, index.docs, ["content", "code"], key)
+    return search.render_hits(search.snippets(salted_join(asked, texts, [key], ["query_id"]), stem=stem))
 
 
 def run_search(
@@ -92,7 +106,7 @@ def run_search(
         queryprep.term_clauses(queryprep.query_terms(distinct), words)
     )
     tokens = materialize(search.clause_tokens(clauses, stem=stem))
-    found = hits(tokens, index, n)
+    found = hits(tokens, index, n, many=True)
     shown = materialize(rendered(found, tokens, index, stem=stem))
     return salted_join(
         asked.select("query_id", F.xxhash64("raw").alias("_asked")),

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siterank.session import released_shuffles
+
 STORED_COLUMNS = ["doc_key", "doc_id", "date", "url", "title", "content", "code", "features"]
 
 TABLES = ["search_docs", "postings", "term_stats", "field_stats", "index_stat"]
@@ -78,14 +80,9 @@ def write_postings(postings: DataFrame, index_path: str, run: str, key: str = "d
     several files of its bucket.
     """
     order = ["field", "bucket", "term", key]
-    (
-        postings.withColumn("bucket", term_bucket("term"))
-        .repartitionByRange(*order)
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
-        .partitionBy("field", "bucket")
-        .parquet(run_path(index_path, "postings", run))
-    )
+    placed = postings.withColumn("bucket", term_bucket("term")).repartitionByRange(*order).sortWithinPartitions(*order)
+    with released_shuffles(postings.sparkSession):
+        placed.write.mode("overwrite").partitionBy("field", "bucket").parquet(run_path(index_path, "postings", run))
 
 
 def write_stats(stats: DataFrame, index_path: str, table: str, run: str) -> None:
