@@ -85,7 +85,8 @@ def postings(docs: DataFrame) -> DataFrame:
 
 def totals(docs: DataFrame) -> tuple[int, int]:
     """``N`` (documents with a term) and ``L`` (all their terms), from the term counts alone."""
-    n = F.size(terms("text"))
+    # Counted as they stand: lower case makes them neither more nor fewer.
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM))
     row = docs.agg(F.count_if(n > 0).alias("N"), F.sum(n).alias("L")).first()
     return int(row["N"] or 0), int(row["L"] or 0)
 
