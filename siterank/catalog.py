@@ -467,10 +467,10 @@ def selected_documents(spark, sf):
 
 
 def index_documents(spark: SparkSession, sf: str) -> str:
-    """Documents to a stored search index; returns its path."""
+    """All documents to a stored search index, no limit per source; returns its path."""
     path = scratch_path(spark, "index")
     indexing.index_crawl(
-        document_crawl(spark, sf), path, "all", importance_features=["content_len", "num_in_urls"]
+        document_crawl(spark, sf), path, "all", n=None, importance_features=["content_len", "num_in_urls"]
     )
     return path
 

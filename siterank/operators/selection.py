@@ -52,12 +52,12 @@ def importance(features: Sequence[str] = IMPORTANCE_FEATURES) -> Column:
 
 def top_n(
     df: DataFrame,
-    n: int,
+    n: int | None,
     by: Sequence[str] = ("crawl_file",),
     score: str = "importance",
     tie: Sequence[str] = ("url",),
 ) -> DataFrame:
-    """The ``n`` best rows per group; rows without a score come last."""
+    """The ``n`` best rows per group, all of them if ``n`` is None; rows without a score come last."""
     return rank_by_group(
         df, by, [F.col(score).desc_nulls_last(), *[F.col(t).asc() for t in tie]], n, tie
     )

@@ -94,19 +94,24 @@ def rank_by_group(
     df: DataFrame,
     by: Sequence[str],
     order: Sequence[Column],
-    n: int,
+    n: int | None,
     spread: Sequence[str],
     rank: str = "rank",
     shares: int = RANK_SHARES,
 ) -> DataFrame:
-    """The first ``n`` rows of every group with their rank, exactly.
+    """The first ``n`` rows of every group with their rank, exactly; all rows if ``n`` is None.
 
     Up to the window group limit of the session, Spark itself drops all but ``n``
     rows of a group in every task before the shuffle.  Above ``RANK_WHOLE`` a group is
     ranked in shares first and only the winners of the shares meet in one task, so no
     task sees more than ``shares * n`` rows of a group.  ``order`` must end in a unique
-    key and ``spread`` should tell the rows of a group apart.
+    key and ``spread`` should tell the rows of a group apart.  Without a limit the ranks are
+    running counts, so a group of any size is many tasks.
     """
+    if n is None:
+        # A struct is not null where its fields are.
+        grouped = df.withColumn("_by", F.struct(*by))
+        return running_sums(grouped, ["_by"], order, {rank: F.lit(1)}).withColumn(rank, F.col(rank).cast("int")).drop("_by")
     in_group = Window.partitionBy(*by).orderBy(*order)
     if n > RANK_WHOLE:
         in_share = Window.partitionBy(*by, "_share").orderBy(*order)
@@ -120,7 +125,7 @@ def rank_by_group(
 
 
 def running_sums(
-    df: DataFrame, by: Sequence[str], order: Sequence[str], sums: dict[str, Column]
+    df: DataFrame, by: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column]
 ) -> DataFrame:
     """Add, per group and in order, the sum of all rows up to and including this one.
 

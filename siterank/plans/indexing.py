@@ -33,8 +33,8 @@ def scored_pages(
     )
 
 
-def select_pages(crawl: DataFrame, n: int = 10_000, **options) -> DataFrame:
-    """The ``n`` most important pages of every crawl file, then only the complete ones."""
+def select_pages(crawl: DataFrame, n: int | None = 10_000, **options) -> DataFrame:
+    """The ``n`` most important pages of every crawl file (None: all), then only the complete ones."""
     return selection.valid_rows(selection.top_n(scored_pages(crawl, **options), n)).withColumn(
         "features", selection.feature_vector()
     )
@@ -75,7 +75,7 @@ def index_crawl(
     crawl: DataFrame,
     index_path: str,
     run: str,
-    n: int = 10_000,
+    n: int | None = 10_000,
     stem: bool = True,
     stored: bool = False,
     only_new: bool = False,
@@ -83,6 +83,7 @@ def index_crawl(
 ) -> None:
     """Select, analyse and write all crawl files of a frame as one run of the index.
 
+    ``n`` pages of a crawl file are indexed at most, all of them if it is None.
     Features, links, anchors and texts are separate scans of the crawl: it is stored
     first, so that its files are unpacked, or its pages parsed, only once.  Say
     ``stored`` for a crawl that is a plain scan of a stored table already, as

@@ -6,6 +6,7 @@ import os
 import duckdb
 import pytest
 
+from siterank import catalog
 from siterank.catalog import QUERIES
 from siterank.catalog_sql import SQL
 
@@ -45,3 +46,17 @@ def test_same_as_sql(spark, tables, name):
 @pytest.mark.parametrize("name", sorted(NO_SQL))
 def test_runs(spark, name):
     assert QUERIES[name](spark, FOLDER).count() > 0
+
+
+def test_index_of_documents_has_all_of_them(spark, tmp_path):
+    """A source of more pages than the default limit per crawl file is indexed whole."""
+    n = 10_040
+    docs = [(i, f"Title {i % 7}\nsome words (x)", ("en", "fr")[i % 2], "big" if i < n else "small", 20) for i in range(n + 60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(map(tuple, QUERIES["indexed_document_stats"](spark, str(tmp_path)).select("term", "df").collect()))
+    assert got == sorted(con.execute(f"SELECT term, df FROM ({SQL['indexed_document_stats']})").fetchall())
+    index = catalog.index_source.read_index(spark, catalog.index_documents(spark, str(tmp_path)))
+    assert index.docs.count() == len(docs)

@@ -73,3 +73,14 @@ def test_running_sums(big, by, coalesced):
 def test_hot_group_lies_in_many_partitions(big, coalesced):
     df = big.fillna(-1).repartitionByRange("k", "row").withColumn("p", F.spark_partition_id())
     assert coalesced or df.filter("k = 0").select("p").distinct().count() > 1
+
+
+def test_rank_by_group_without_limit(spark, big, coalesced):
+    """All rows of all groups have their rank, a null group too; the hot group is ranked in many tasks."""
+    df = big.filter("k != 3 or k is null").withColumn("x", F.when(F.col("row") % 5 > 0, F.col("row") % 50 / 7))
+    order = [F.col("x").desc_nulls_last(), F.asc("row")]
+    w = Window.partitionBy("k").orderBy(*order)
+    want = df.withColumn("rank", F.row_number().over(w))
+    got = skew.rank_by_group(df, ["k"], order, None, ["row"])
+    assert got.schema["rank"].dataType == want.schema["rank"].dataType
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
