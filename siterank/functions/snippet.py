@@ -10,7 +10,9 @@ from __future__ import annotations
 import re
 from html import escape
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,17 +54,75 @@ def best_snippet(
     return "".join(parts)
 
 
+class Stretches:
+    """A text cut into its stretches, whatever is asked: places, stretch and term number of its tokens."""
+
+    def __init__(self, text: str, numbers: dict[str, int], stemmed: bool, max_chars: int = SNIPPET_CHARS):
+        self.text = text
+        self.begins, self.ends, stretches, terms = [], [], [], []
+        seen: dict[str, int] = {}
+        start, stretch = None, -1
+        for match in TOKEN.finditer(text):
+            word, begin, end = match.group(), match.start(), match.end()
+            term = seen.get(word)
+            if term is None:
+                form = word.lower()
+                # A term nobody asks for has the last number, and no weight.
+                term = seen[word] = numbers.get(stem(form) if stemmed else form, len(numbers))
+            if start is None or end - start > max_chars:
+                start, stretch = begin, stretch + 1
+            self.begins.append(begin)
+            self.ends.append(end)
+            stretches.append(stretch)
+            terms.append(term)
+        self.stretches, self.terms = np.array(stretches, np.int64), np.array(terms, np.int64)
+
+    def best(self, weights: np.ndarray) -> str:
+        """``best_snippet`` with a weight per term number."""
+        if not len(self.terms):
+            return ""
+        of_token = weights[self.terms]
+        # Added up in the order of the tokens.
+        scores = np.bincount(self.stretches, of_token)
+        best = scores.argmax()
+        if not scores[best] > 0:
+            return ""
+        lo, hi = np.searchsorted(self.stretches, [best, best + 1]).tolist()
+        parts, at = [], self.begins[lo]
+        for i, matched in zip(range(lo, hi), (of_token[lo:hi] > 0).tolist()):
+            word = escape(self.text[self.begins[i] : self.ends[i]])
+            parts += [escape(self.text[at : self.begins[i]]), f"<b>{word}</b>" if matched else word]
+            at = self.ends[i]
+        return "".join(parts)
+
+
+def best_snippets(texts: pa.Array, terms: pa.Array, stemmed: bool) -> pa.Array:
+    """``best_snippet`` of every text and its terms; a text that comes again is read once."""
+    encoded = texts.fill_null("").dictionary_encode()
+    of_row, distinct = encoded.indices.to_numpy(), encoded.dictionary
+    asked = terms.flatten()
+    names = asked.field("term").dictionary_encode()
+    numbers = {name: i for i, name in enumerate(names.dictionary.to_pylist())}
+    codes, weights = names.indices.to_numpy(), asked.field("weight").to_numpy(zero_copy_only=False)
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(terms), 0).to_numpy())
+    held = np.zeros(len(numbers) + 1)
+    out, text, number = [""] * len(texts), None, -1
+    for row in np.argsort(of_row, kind="stable").tolist():
+        if of_row[row] != number:
+            number = of_row[row]
+            text = Stretches(distinct[number].as_py(), numbers, stemmed)
+        mine = slice(ends[row - 1] if row else 0, ends[row])
+        held[codes[mine]] = weights[mine]
+        out[row] = text.best(held)
+        held[codes[mine]] = 0
+    return pa.array(out, pa.string())
+
+
 def snippet_udf(stemmed: bool):
     """``(text, array<struct<term, weight>>) -> snippet``."""
 
     @F.arrow_udf(T.StringType())
     def run(texts: pa.Array, terms: pa.Array) -> pa.Array:
-        return pa.array(
-            [
-                best_snippet(t or "", {e["term"]: e["weight"] for e in ts or []}, stemmed)
-                for t, ts in zip(texts.to_pylist(), terms.to_pylist())
-            ],
-            pa.string(),
-        )
+        return best_snippets(texts, terms, stemmed)
 
     return run

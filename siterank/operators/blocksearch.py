@@ -23,11 +23,18 @@ from siterank.session import materialize
 
 # Matches of clauses in a block of documents, and clauses in a block of queries.
 BLOCK_MATCHES = 1 << 20
-BLOCK_CLAUSES = 1 << 14
-# The document blocks are dealt to at most this many tasks per block of queries.
+BLOCK_CLAUSES = 1 << 18
+# The document blocks are dealt to at most this many tasks per block of queries, and to no
+# more than it takes to have this many tasks per core: a task drops what its own hits beat.
 DOCUMENT_TASKS = 8
-# Queries whose scores a task holds at once.
+TASKS_PER_CORE = 4
+# A clause in more than one of so many documents of a block is a row of a matrix.
+FREQUENT = 8
+# Queries whose scores a task holds at once, their scores, and their matches outside the matrix.
 HELD_QUERIES = 64
+HELD_CELLS = 1 << 20
+HELD_MATCHES = 1 << 20
+QUERY_ARRAYS = [("_queries", np.int64), ("_first", np.int64), ("_asked", np.int64), ("_gains", float)]
 
 
 def different_clauses(weighed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -101,98 +108,133 @@ def query_blocks(gains: DataFrame, rows: int) -> DataFrame:
     placed = gains.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
     schema = "_block long, _queries binary, _first binary, _asked binary, _gains binary"
     # A partition per block, about: each meets every partition of document blocks.
-    return materialize(placed.groupBy("_block").applyInArrow(pack, schema)).repartition(blocks, "_block")
+    return materialize(placed.groupBy("_block").applyInArrow(pack, schema)).repartitionByRange(blocks, "_block")
+
+
+class QueryBlock:
+    """The clauses of a block of queries and the ``n`` best documents each has met, best first:
+    scores * 10 ** 9 (no hit: -inf), keys and which of them are null."""
+
+    def __init__(self, queries: np.ndarray, first: np.ndarray, asked: np.ndarray, gains: np.ndarray, n: int):
+        self.queries, self.first, self.gains, self.n = queries, first, gains, n
+        # Queries share most of their clauses: each is looked up once in a block of documents.
+        self.kinds, self.kind = np.unique(asked, return_inverse=True)
+        self.scores = np.full((len(queries), n), -np.inf)
+        self.keys = np.zeros((len(queries), n), np.int64)
+        self.null = np.zeros((len(queries), n), bool)
+
+    def meet(self, keys: np.ndarray, null: np.ndarray, scores: np.ndarray, matched: np.ndarray, lo: int) -> None:
+        """Take the documents that can be among the best of the queries from ``lo`` on, by scores per query and document."""
+        hi = lo + len(scores)
+        # Scores are compared rounded; those a rounding below the n-th best are looked at.
+        least = self.scores[lo:hi, -1] / 1e9 - 2e-9
+        fewer = np.flatnonzero(least == -np.inf)
+        if len(fewer) and scores.shape[1] > self.n:
+            some = np.where(matched[fewer], scores[fewer], -np.inf)
+            least[fewer] = np.partition(some, -self.n, axis=1)[:, -self.n] - 2e-9
+        query, place = np.nonzero((scores >= least[:, None]) & matched)
+        if not len(query):
+            return
+        found = scores[query, place]
+        found = np.copysign(np.floor(np.abs(found) * 1e9 + 0.5), found)
+        rows = np.unique(query)
+        had = self.scores[lo + rows] > -np.inf
+        owner = np.concatenate([np.repeat(rows, had.sum(axis=1)), query])
+        found = np.concatenate([self.scores[lo + rows][had], found])
+        key = np.concatenate([self.keys[lo + rows][had], keys[place]])
+        none = np.concatenate([self.null[lo + rows][had], null[place]])
+        order = np.lexsort([key, ~none, -found, owner])
+        owner = owner[order]
+        rank = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        best = rank < self.n
+        order, at = order[best], (lo + owner[best], rank[best])
+        self.scores[lo + rows] = -np.inf
+        self.scores[at], self.keys[at], self.null[at] = found[order], key[order], none[order]
+
+    def hits(self, key: str) -> pa.RecordBatch:
+        held = self.scores > -np.inf
+        columns = [
+            pa.array(np.repeat(self.queries, held.sum(axis=1))),
+            pa.array(self.keys[held], mask=self.null[held]),
+            pa.array(self.scores[held] / 1e9),
+        ]
+        return pa.RecordBatch.from_arrays(columns, ["query_id", key, "score"])
 
 
-def pair_scores(clauses: tuple, docs: tuple) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """``(query number, places of its matches, their rounded scores * 10 ** 9)`` of a pair of blocks.
+def pair_scores(block: QueryBlock, docs: tuple) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """``(first query, scores, matched)`` of a pair of blocks, a few queries by all documents at a time.
 
-    Clauses in more than a quarter of the documents are summed up as a matrix product,
-    the others list by list.
+    Clauses in more than a share of the documents are summed up as a matrix product, the
+    matches of the others are added one by one.
     """
-    queries, first, asked, gains = clauses
     n_docs, kinds, starts, at, part = docs
-    spot = np.minimum(np.searchsorted(kinds, asked), len(kinds) - 1)
-    held = kinds[spot] == asked
-    sizes = np.diff(starts)
-    frequent = np.flatnonzero(sizes * 4 > n_docs)
-    row = np.full(len(kinds), -1)
+    spot = np.minimum(np.searchsorted(kinds, block.kinds), len(kinds) - 1)
+    size = np.where(kinds[spot] == block.kinds, np.diff(starts)[spot], 0)
+    start = starts[spot]
+    frequent = np.flatnonzero(size * FREQUENT > n_docs)
+    row = np.full(len(size), -1)
     row[frequent] = np.arange(len(frequent))
     dense = np.zeros((len(frequent), n_docs))
     for r, k in enumerate(frequent.tolist()):
-        dense[r, at[starts[k] : starts[k + 1]]] = part[starts[k] : starts[k + 1]]
-
-    def summed(lo: int, hi: int, weight: np.ndarray, matrix: np.ndarray, parts: np.ndarray) -> np.ndarray:
-        c = np.arange(first[lo], first[hi])
-        c = c[held[c]]
-        owner = np.searchsorted(first, c, "right") - 1 - lo
-        often = row[spot[c]] >= 0
+        held = slice(start[k], start[k] + size[k])
+        dense[r, at[held]] = part[held]
+    single = np.where(row[block.kind] < 0, size[block.kind], 0)
+    work = np.append(0, np.cumsum(single))[block.first]
+
+    def summed(lo: int, hi: int, gains: np.ndarray, matrix: np.ndarray, parts: np.ndarray | None) -> np.ndarray:
+        c = slice(block.first[lo], block.first[hi])
+        kind, gain = block.kind[c], gains[c]
+        owner = np.repeat(np.arange(hi - lo), np.diff(block.first[lo : hi + 1]))
+        often = row[kind] >= 0
         factor = np.zeros((hi - lo, len(frequent)))
-        factor[owner[often], row[spot[c[often]]]] = weight[c[often]]
+        factor[owner[often], row[kind[often]]] = gain[often]
         out = factor @ matrix
-        for q, x in zip(owner[~often].tolist(), c[~often].tolist()):
-            here = slice(starts[spot[x]], starts[spot[x] + 1])
-            out[q, at[here]] += weight[x] * parts[here]
+        rare = np.flatnonzero(single[c])
+        n = size[kind[rare]]
+        # Places of the matches of all these clauses, one list after the other.
+        end = np.cumsum(n)
+        place = np.arange(n.sum()) + np.repeat(start[kind[rare]] - (end - n), n)
+        value = np.repeat(gain[rare], n)
+        np.add.at(out.reshape(-1), at[place] + np.repeat(owner[rare] * n_docs, n), value if parts is None else value * parts[place])
         return out
 
-    for lo in range(0, len(queries), HELD_QUERIES):
-        hi = min(lo + HELD_QUERIES, len(queries))
-        scores = summed(lo, hi, gains, dense, part)
+    lo = 0
+    while lo < len(block.queries):
+        # Bounded by queries, cells and matches, but a query at least.
+        hi = int(np.searchsorted(work, work[lo] + HELD_MATCHES, "right")) - 1
+        hi = max(lo + 1, min(hi, lo + HELD_QUERIES, lo + HELD_CELLS // max(1, n_docs), len(block.queries)))
+        scores = summed(lo, hi, block.gains, dense, part)
         matched = scores > 0
-        if (gains[first[lo] : first[hi]] <= 0).any():
-            matched = summed(lo, hi, np.ones(len(gains)), (dense > 0).astype(float), np.ones(len(part))) > 0
-        scores = np.copysign(np.floor(np.abs(scores) * 1e9 + 0.5), scores)
-        for q in range(hi - lo):
-            places = np.flatnonzero(matched[q])
-            if len(places):
-                yield lo + q, places, scores[q, places]
+        if not (block.gains[block.first[lo] : block.first[hi]] > 0).all():
+            matched = summed(lo, hi, np.ones(len(block.gains)), (dense > 0).astype(float), None) > 0
+        yield lo, scores, matched
+        lo = hi
 
 
 def block_hits(pairs: DataFrame, n: int, key: str) -> DataFrame:
     """``(query_id, key, score)``: the ``n`` best documents per query among those its task has met."""
 
-    def best(scores: np.ndarray, keys: np.ndarray, null: np.ndarray):
-        order = np.lexsort([keys, ~null, -scores])[:n]
-        return scores[order], keys[order], null[order]
-
-    def found(queries: np.ndarray, held: dict) -> pa.RecordBatch:
-        numbers = list(held)
-        scores, keys, null = (np.concatenate([held[q][i] for q in numbers]) for i in range(3))
-        of = np.repeat(queries[numbers], [len(held[q][0]) for q in numbers])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(of), pa.array(keys, mask=null), pa.array(scores / 1e9)], ["query_id", key, "score"]
-        )
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, queries, held = None, None, {}
+        # A task has few blocks of queries; they stay while blocks of documents pass by.
+        blocks: dict[int, QueryBlock] = {}
         for batch in batches:
             for i in range(batch.num_rows):
 
                 def array(name, kind, batch=batch, i=i):
                     return np.frombuffer(batch.column(name)[i].as_buffer(), kind)
 
-                if batch.column("_block")[i].as_py() != block:
-                    if held:
-                        yield found(queries, held)
-                    block, held = batch.column("_block")[i].as_py(), {}
-                    queries = array("_queries", np.int64).copy()
-                clauses = (queries, array("_first", np.int64), array("_asked", np.int64), array("_gains", float))
-                docs, null = array("_docs", np.int64), np.zeros(len(array("_docs", np.int64)), bool)
+                number = batch.column("_block")[i].as_py()
+                if number not in blocks:
+                    packed = [array(name, kind).copy() for name, kind in QUERY_ARRAYS]
+                    blocks[number] = QueryBlock(*packed, n)
+                docs = array("_docs", np.int64)
+                null = np.zeros(len(docs), bool)
                 null[:1] = batch.column("_null")[i].as_py()
                 lists = (len(docs), array("_kinds", np.int64), array("_starts", np.int64), array("_at", np.int32), array("_part", float))
-                for q, places, scores in pair_scores(clauses, lists):
-                    if len(places) > n:
-                        least = np.partition(scores, len(scores) - n)[len(scores) - n]
-                        above = np.flatnonzero(scores > least)
-                        # Equal scores go by key: places are in the order of the keys.
-                        keep = np.concatenate([above, np.flatnonzero(scores == least)[: n - len(above)]])
-                        places, scores = places[keep], scores[keep]
-                    rows = (scores, docs[places], null[places])
-                    if q in held:
-                        rows = best(*[np.concatenate(pair) for pair in zip(held[q], rows)])
-                    held[q] = rows
-        if held:
-            yield found(queries, held)
+                for lo, scores, matched in pair_scores(blocks[number], lists):
+                    blocks[number].meet(docs, null, scores, matched, lo)
+        for block in blocks.values():
+            yield block.hits(key)
 
     return pairs.mapInArrow(run, f"query_id long, {key} long, score double")
 
@@ -219,7 +261,10 @@ def blocked_top_hits(
     freq = F.col("freq")
     matches = materialize(matches.select(F.col("query_id").alias("_kind"), key, (freq / (freq + F.col("norm"))).alias("_part")))
     docs = materialize(document_blocks(matches, key, block_matches))
-    docs = docs.repartition(max(1, min(DOCUMENT_TASKS, docs.count())))
-    pairs = query_blocks(materialize(gains), block_clauses).crossJoin(docs.hint("shuffle_replicate_nl"))
+    queries = query_blocks(materialize(gains), block_clauses)
+    tasks = -(-TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism // max(1, queries.count()))
+    docs = docs.repartition(max(1, min(DOCUMENT_TASKS, docs.count(), tasks)))
+    # Blocks of documents pass by one after the other; a task keeps its blocks of queries, and these are few.
+    pairs = docs.crossJoin(queries.hint("shuffle_replicate_nl"))
     # The pairs are met once; the ranking samples nothing, but its input must not be made twice.
     return top_hits(materialize(block_hits(pairs, n, key)), n, key)

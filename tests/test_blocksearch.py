@@ -1,7 +1,10 @@
 """Search by pairs of blocks against the plain join of clauses and postings."""
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from siterank.functions import snippet
 from siterank.operators import blocksearch, search
 from siterank.plans import searching
 from siterank.session import materialize
@@ -38,3 +41,61 @@ def test_run_search_never_moves_matches(spark, monkeypatch):
     monkeypatch.setattr(search, "bm25", None)
     got = searching.many_hits(tokens, index, 5).select("query_id", "rank", "doc_key").collect()
     assert sorted(map(tuple, got)) == [(1, 1, 1), (1, 2, 2), (2, 1, 2)]
+
+
+@pytest.mark.parametrize("limits", [{}, {"HELD_MATCHES": 50, "FREQUENT": 2}, {"HELD_CELLS": 1}])
+def test_pairs_of_blocks_equal_every_score(monkeypatch, limits):
+    """The best of several blocks of documents, with ties, a null key, and gains of zero and less."""
+    for name, value in limits.items():
+        monkeypatch.setattr(blocksearch, name, value)
+    rng = np.random.default_rng(4)
+    queries, n_docs, n_kinds, n = np.arange(100, 170), 90, 40, 7
+    asked = [np.sort(rng.choice(n_kinds + 5, rng.integers(1, 30), replace=False)) for _ in queries]
+    gains = [rng.integers(1, 4, len(a)) / 2 - (1.0 if q % 10 == 0 else 0.0) for q, a in zip(queries, asked)]
+    first = np.append(0, np.cumsum([len(a) for a in asked]))
+    block = blocksearch.QueryBlock(queries, first, np.concatenate(asked), np.concatenate(gains), n)
+    met = []
+    for number in range(4):
+        part = rng.integers(0, 3, (n_kinds, n_docs)) * (rng.random((n_kinds, 1)) > rng.random((n_kinds, n_docs))) / 4
+        keys = np.arange(n_docs) * 4 + number
+        null = np.zeros(n_docs, bool)
+        null[0] = number == 0
+        kind, at = np.nonzero(part)
+        kinds, starts = np.unique(kind, return_index=True)
+        lists = (n_docs, kinds, np.append(starts, len(kind)), at.astype(np.int32), part[kind, at])
+        for lo, scores, matched in blocksearch.pair_scores(block, lists):
+            block.meet(keys, null, scores, matched, lo)
+        met.append((part, keys, null))
+    got = sorted(map(str, block.hits("doc").to_pylist()))
+    want = []
+    for query, a, g in zip(queries.tolist(), asked, gains):
+        here = a < n_kinds
+        rows = []
+        for part, keys, null in met:
+            score, found = g[here] @ part[a[here]], (part[a[here]] > 0).any(axis=0)
+            rows += [(-s, not x, k) for s, k, x in zip(score[found].tolist(), keys[found].tolist(), null[found].tolist())]
+        want += [{"query_id": query, "doc": k if known else None, "score": -s} for s, known, k in sorted(rows)[:n]]
+    assert got == sorted(map(str, want)) and len(got) > 400
+
+
+def test_block_of_documents_is_sent_to_few_blocks_of_queries(spark):
+    """30,000 clauses are one block: every block of documents goes to the workers once, not per 200 queries."""
+    gains = spark.range(30_000).selectExpr("id div 75 as query_id", "id % 75 as _kind", "1D as gain")
+    assert blocksearch.query_blocks(gains, blocksearch.BLOCK_CLAUSES).count() == 1
+
+
+@pytest.mark.parametrize("stemmed", [True, False])
+def test_snippets_of_many_hits_read_a_text_once(monkeypatch, stemmed):
+    rng = np.random.default_rng(3)
+    words = ["the", "Kings", "king", "hill", "<b>", "&", "x_y", "ÀÉ", "running", "İ", "\n", ".", "a" * 160]
+    texts = [None, "", "...", *[" ".join(rng.choice(words, rng.integers(1, 200))) for _ in range(20)]]
+    asked = ["the", "king", "kings", "hill", "àé", "run", "running", "x", "i̇", "zz", "a" * 160]
+    rows = [(texts[rng.integers(len(texts))], rng.choice(asked, rng.integers(0, 6), replace=False).tolist()) for _ in range(400)]
+    terms = [[{"term": t, "weight": 1 / (1 + rng.integers(1, 5))} for t in ts] if ts else None for _, ts in rows]
+    want = [snippet.best_snippet(t or "", {e["term"]: e["weight"] for e in ts or []}, stemmed) for (t, _), ts in zip(rows, terms)]
+    read, cut = [], snippet.Stretches
+    monkeypatch.setattr(snippet, "Stretches", lambda text, *a: read.append(text) or cut(text, *a))
+    kind = pa.list_(pa.struct([("term", pa.string()), ("weight", pa.float64())]))
+    got = snippet.best_snippets(pa.array([t for t, _ in rows], pa.string()), pa.array(terms, kind), stemmed)
+    assert got.to_pylist() == want and sum(map(bool, want)) > 100
+    assert len(read) == len({t or "" for t, _ in rows}) < 25
