@@ -8,6 +8,7 @@ sees the few documents that are shown.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import escape
 
 import numpy as np
@@ -55,27 +56,26 @@ def best_snippet(
 
 
 class Stretches:
-    """A text cut into its stretches, whatever is asked: places, stretch and term number of its tokens."""
+    """A text cut into its stretches, whatever is asked: places and term numbers of its tokens, first tokens of the stretches."""
 
     def __init__(self, text: str, numbers: dict[str, int], stemmed: bool, max_chars: int = SNIPPET_CHARS):
         self.text = text
-        self.begins, self.ends, stretches, terms = [], [], [], []
-        seen: dict[str, int] = {}
-        start, stretch = None, -1
-        for match in TOKEN.finditer(text):
-            word, begin, end = match.group(), match.start(), match.end()
-            term = seen.get(word)
-            if term is None:
-                form = word.lower()
-                # A term nobody asks for has the last number, and no weight.
-                term = seen[word] = numbers.get(stem(form) if stemmed else form, len(numbers))
-            if start is None or end - start > max_chars:
-                start, stretch = begin, stretch + 1
-            self.begins.append(begin)
-            self.ends.append(end)
-            stretches.append(stretch)
-            terms.append(term)
-        self.stretches, self.terms = np.array(stretches, np.int64), np.array(terms, np.int64)
+        spans = [match.span() for match in TOKEN.finditer(text)]
+        self.begins, self.ends = [begin for begin, _ in spans], [end for _, end in spans]
+        words = [text[begin:end] for begin, end in spans]
+        # A term nobody asks for has the last number, and no weight.
+        seen = {}
+        for word in set(words):
+            form = word.lower()
+            seen[word] = numbers.get(stem(form) if stemmed else form, len(numbers))
+        self.terms = np.array([seen[word] for word in words], np.int64)
+        self.cuts, at = [], 0
+        while at < len(spans):
+            self.cuts.append(at)
+            # Up to the first token that ends too far, one token at least.
+            at = max(at + 1, bisect_right(self.ends, self.begins[at] + max_chars, at))
+        self.cuts.append(at)
+        self.stretches = np.repeat(np.arange(len(self.cuts) - 1), np.diff(self.cuts))
 
     def best(self, weights: np.ndarray) -> str:
         """``best_snippet`` with a weight per term number."""
@@ -87,13 +87,14 @@ class Stretches:
         best = scores.argmax()
         if not scores[best] > 0:
             return ""
-        lo, hi = np.searchsorted(self.stretches, [best, best + 1]).tolist()
+        lo, hi = self.cuts[best], self.cuts[best + 1]
         parts, at = [], self.begins[lo]
-        for i, matched in zip(range(lo, hi), (of_token[lo:hi] > 0).tolist()):
-            word = escape(self.text[self.begins[i] : self.ends[i]])
-            parts += [escape(self.text[at : self.begins[i]]), f"<b>{word}</b>" if matched else word]
-            at = self.ends[i]
-        return "".join(parts)
+        # A token has nothing to escape.
+        for i in (lo + np.flatnonzero(of_token[lo:hi] > 0)).tolist():
+            begin, end = self.begins[i], self.ends[i]
+            parts += [escape(self.text[at:begin]), "<b>", self.text[begin:end], "</b>"]
+            at = end
+        return "".join([*parts, escape(self.text[at : self.ends[hi - 1]])])
 
 
 def best_snippets(texts: pa.Array, terms: pa.Array, stemmed: bool) -> pa.Array:

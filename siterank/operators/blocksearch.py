@@ -37,15 +37,10 @@ HELD_MATCHES = 1 << 20
 QUERY_ARRAYS = [("_queries", np.int64), ("_first", np.int64), ("_asked", np.int64), ("_gains", float)]
 
 
-def different_clauses(weighed: DataFrame) -> tuple[DataFrame, DataFrame]:
+def different_clauses(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(query_id, clause, field, i, term, n_tokens, gain, mean_len)`` of every different
     clause, numbered in ``query_id``, and ``(query_id, _kind, gain)`` of the queries."""
-    whole = materialize(
-        weighed.groupBy("query_id", "clause").agg(
-            *[F.any_value(c).alias(c) for c in ("field", "n_tokens", "gain", "mean_len")],
-            F.array_sort(F.collect_list(F.struct("i", "term"))).alias("_tokens"),
-        )
-    )
+    whole = materialize(whole.select("query_id", "field", "n_tokens", "gain", "mean_len", F.array_sort("found").alias("_tokens")))
     same = ["field", "_tokens"]
     kinds = whole.groupBy(*same).agg(*[F.any_value(c).alias(c) for c in ("n_tokens", "mean_len")])
     # Written at once, so the numbers do not change.
@@ -63,10 +58,18 @@ def different_clauses(weighed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(clauses), gains.groupBy("query_id", "_kind").agg(F.sum("gain").alias("gain"))
 
 
-def document_blocks(matches: DataFrame, key: str, rows: int) -> DataFrame:
-    """``(_docs, _null, _kinds, _starts, _at, _part)`` of ``(_kind, key, part)``: documents in
-    order, a null first, and the list of documents and parts of every kind, as packed arrays."""
-    blocks = max(1, -(-matches.count() // rows))
+def expected_blocks(clauses: DataFrame, terms: DataFrame, rows: int) -> int:
+    """Blocks that have about ``rows`` matches each; a phrase counts as the rarest of its tokens."""
+    least = clauses.join(terms.select("field", "term", "df"), ["field", "term"]).groupBy("query_id").agg(F.min("df").alias("df"))
+    return max(1, -(-int(least.agg(F.sum("df")).first()[0] or 0) // rows))
+
+
+def document_blocks(matches: DataFrame, key: str, blocks: int) -> DataFrame:
+    """``(_docs, _null, _kinds, _starts, _at, _part)`` of ``(_kind, key, freq, norm)``: documents in
+    order, a null first, and the list of documents and parts of every kind, as packed arrays.
+
+    The rows of a match are added up where its block is made: matches are moved once.
+    """
 
     def pack(table: pa.Table) -> pa.Table:
         null = table["_key"].is_null().to_numpy()
@@ -76,13 +79,17 @@ def document_blocks(matches: DataFrame, key: str, rows: int) -> DataFrame:
         docs = np.concatenate([np.zeros(int(null.any()), np.int64), docs])
         kind = table["_kind"].to_numpy()
         order = np.lexsort([at, kind])
-        kinds, starts = np.unique(kind[order], return_index=True)
-        arrays = [kinds, np.append(starts, len(order)).astype(np.int64), at[order], table["_part"].to_numpy()[order]]
+        kind, at = kind[order], at[order]
+        own = np.flatnonzero(np.append(True, (np.diff(kind) != 0) | (np.diff(at) != 0)))
+        freq = np.add.reduceat(table["freq"].to_numpy()[order], own)
+        part = freq / (freq + table["norm"].to_numpy()[order][own])
+        kinds, starts = np.unique(kind[own], return_index=True)
+        arrays = [kinds, np.append(starts, len(own)).astype(np.int64), at[own], part]
         packed = [docs.tobytes(), bool(null.any()), *[a.tobytes() for a in arrays]]
         return pa.table({name: [value] for name, value in zip(("_docs", "_null", "_kinds", "_starts", "_at", "_part"), packed)})
 
     placed = matches.select(
-        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), "_kind", F.col(key).cast("long").alias("_key"), "_part"
+        F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), "_kind", F.col(key).cast("long").alias("_key"), "freq", "norm"
     )
     schema = "_docs binary, _null boolean, _kinds binary, _starts binary, _at binary, _part binary"
     return placed.groupBy("_block").applyInArrow(pack, schema)
@@ -249,18 +256,35 @@ def blocked_top_hits(
     block_matches: int = BLOCK_MATCHES,
     block_clauses: int = BLOCK_CLAUSES,
 ) -> DataFrame:
-    """The ``n`` best documents per query, exactly as ``top_hits(bm25(match_clauses(...)))``.
+    """``clause_top_hits`` of ``weigh_clauses``."""
+    whole = weighed.groupBy("query_id", "clause").agg(
+        *[F.any_value(c).alias(c) for c in ("field", "n_tokens", "gain", "mean_len")],
+        F.collect_list(F.struct("i", "term")).alias("found"),
+    )
+    return clause_top_hits(whole, postings, terms, n, key, phrases, block_matches, block_clauses)
+
+
+def clause_top_hits(
+    whole: DataFrame,
+    postings: DataFrame,
+    terms: DataFrame,
+    n: int,
+    key: str = "doc_key",
+    phrases: bool = True,
+    block_matches: int = BLOCK_MATCHES,
+    block_clauses: int = BLOCK_CLAUSES,
+) -> DataFrame:
+    """The ``n`` best documents per query of ``whole_clauses``, exactly as ``top_hits(bm25(match_clauses(...)))``.
 
     ``query_id`` and ``key`` are longs and ``query_id`` is not null.  What is moved and
     written grows with the postings of the asked terms, the clauses and ``n`` hits per
     query and task, of which there are at most ``DOCUMENT_TASKS`` per query; time grows
     with queries times documents.
     """
-    clauses, gains = different_clauses(weighed)
-    matches = match_clauses(clauses, postings, terms, key, phrases)
-    freq = F.col("freq")
-    matches = materialize(matches.select(F.col("query_id").alias("_kind"), key, (freq / (freq + F.col("norm"))).alias("_part")))
-    docs = materialize(document_blocks(matches, key, block_matches))
+    clauses, gains = different_clauses(whole)
+    matches = match_clauses(clauses, postings, terms, key, phrases, summed=False)
+    matches = matches.select(F.col("query_id").alias("_kind"), key, "freq", "norm")
+    docs = materialize(document_blocks(matches, key, expected_blocks(clauses, terms, block_matches)))
     queries = query_blocks(materialize(gains), block_clauses)
     tasks = -(-TASKS_PER_CORE * docs.sparkSession.sparkContext.defaultParallelism // max(1, queries.count()))
     docs = docs.repartition(max(1, min(DOCUMENT_TASKS, docs.count(), tasks)))

@@ -50,21 +50,24 @@ def clause_tokens(
     phrase: token ``i`` must stand ``i`` places after the first.
     """
     field_number = F.array_position(F.array(*[F.lit(f) for f in fields]), F.col("field"))
+    # The rows of a query and text are brought together before they are multiplied by the
+    # fields, and the text is analysed once for all of them.
+    together = clauses.repartition("query_id", "text")
     merged = (
-        expand_default_fields(clauses, list(fields))
+        expand_default_fields(together, list(fields))
         .groupBy("query_id", "field", "text")
         .agg(F.min("seq").alias("seq"), F.sum("boost").alias("weight"))
-        .withColumn("tokens", analyzed("text", stemmed=False))
         .withColumn("clause", F.col("seq").cast("bigint") * len(fields) + field_number)
+        .groupBy("query_id", "text")
+        .agg(F.collect_list(F.struct("clause", "field", "weight")).alias("_clauses"))
+        .withColumn("tokens", analyzed("text", stemmed=False))
     )
     stemmed_fields = [f for f, stemmed in fields.items() if stemmed and stem]
+    stems = F.col("tokens")
     if stemmed_fields:
-        merged = merged.withColumn(
-            "tokens",
-            F.when(F.col("field").isin(stemmed_fields), stem_tokens("tokens")).otherwise(
-                F.col("tokens")
-            ),
-        )
+        merged = merged.withColumn("_stems", stem_tokens("tokens"))
+        stems = F.when(F.col("field").isin(stemmed_fields), F.col("_stems")).otherwise(stems)
+    merged = merged.select(*merged.columns, F.inline("_clauses")).withColumn("tokens", stems)
     return merged.select(
         "query_id",
         "clause",
@@ -80,8 +83,8 @@ def vocabulary(tokens: DataFrame) -> DataFrame:
     return tokens.select("field", "term").distinct()
 
 
-def weigh_clauses(tokens: DataFrame, terms: DataFrame, fields: DataFrame) -> DataFrame:
-    """``(query_id, clause, field, i, term, n_tokens, gain, mean_len)``.
+def whole_clauses(tokens: DataFrame, terms: DataFrame, fields: DataFrame) -> DataFrame:
+    """``(query_id, clause, field, n_tokens, gain, mean_len, found)``: a row per clause, its ``(i, term)`` in ``found``.
 
     ``gain`` is boost times idf of the whole clause, as BM25 uses it.  ``terms``
     holds ``(field, term, df)``, ``fields`` one ``(field, n_docs, total_len)`` row
@@ -103,16 +106,22 @@ def weigh_clauses(tokens: DataFrame, terms: DataFrame, fields: DataFrame) -> Dat
             F.collect_list(F.struct("i", "term")).alias("found"),
         )
         .filter(F.size("found") == F.col("n_tokens"))
-        .select("query_id", "clause", "field", "n_tokens", "gain", "mean_len", F.inline("found"))
     )
 
 
+def weigh_clauses(tokens: DataFrame, terms: DataFrame, fields: DataFrame) -> DataFrame:
+    """``(query_id, clause, field, i, term, n_tokens, gain, mean_len)`` of ``whole_clauses``."""
+    whole = whole_clauses(tokens, terms, fields)
+    return whole.select("query_id", "clause", "field", "n_tokens", "gain", "mean_len", F.inline("found"))
+
+
 def match_clauses(
     weighed: DataFrame,
     postings: DataFrame,
     terms: DataFrame,
     key: str = "doc_key",
     phrases: bool = True,
+    summed: bool = True,
     **skew,
 ) -> DataFrame:
     """``(query_id, key, clause, freq, gain, norm)``: matches of clauses in documents.
@@ -123,7 +132,8 @@ def match_clauses(
     are made that each has about ``MATCH_ROWS`` of them, however large the index is.
     For more clauses, frequent terms are split by document; ``terms`` tells how frequent
     they are.  Stored postings have a ``bucket`` per term: the clauses carry the same, so
-    only the asked buckets are read.
+    only the asked buckets are read.  A caller that brings matches together by document
+    itself says ``summed=False``: a match may then be several rows, to be added up by ``freq``.
     """
     on = ["field", "term"]
     if "bucket" in postings.columns:
@@ -154,8 +164,9 @@ def match_clauses(
         # The postings of a term in a document are few rows, one per chunk: bring all
         # clauses of a query and document together at once.
         joined = salted_join(postings, singles, on, [key], **skew).withColumn("norm", BM25_K1 * length)
-        single = joined.select(*clause, *facts, "tf").repartition("query_id", key)
-        single = single.groupBy(*clause).agg(F.sum("tf").alias("freq"), *kept)
+        single = joined.select(*clause, F.col("tf").alias("freq"), *facts)
+        if summed:
+            single = single.repartition("query_id", key).groupBy(*clause).agg(F.sum("freq").alias("freq"), *kept)
     if not phrases:
         return single
     # A phrase starts where all of its tokens agree on the place of the first.  Only the

@@ -58,8 +58,8 @@ def many_hits(
 ) -> DataFrame:
     """The ``n`` best of very many queries: their matches are never moved."""
     terms = materialize(index.terms.join(search.vocabulary(tokens), ["field", "term"]))
-    weighed = materialize(search.weigh_clauses(tokens, terms, index.fields))
-    return blocksearch.blocked_top_hits(weighed, index.postings, terms, n, key, phrases)
+    whole = search.whole_clauses(tokens, terms, index.fields)
+    return blocksearch.clause_top_hits(whole, index.postings, terms, n, key, phrases)
 
 
 def hits(

@@ -99,3 +99,32 @@ def test_snippets_of_many_hits_read_a_text_once(monkeypatch, stemmed):
     got = snippet.best_snippets(pa.array([t for t, _ in rows], pa.string()), pa.array(terms, kind), stemmed)
     assert got.to_pylist() == want and sum(map(bool, want)) > 100
     assert len(read) == len({t or "" for t, _ in rows}) < 25
+
+
+def test_matches_add_up_in_their_block(spark):
+    """Rows of one match, one per chunk of its postings, are added up where the block is made."""
+    matches = spark.createDataFrame(
+        [(7, 1, 2, 1.0), (7, 1, 3, 1.0), (7, None, 1, 3.0), (8, 1, 1, 1.0)], "_kind long, doc long, freq long, norm double"
+    )
+    row = blocksearch.document_blocks(matches, "doc", 1).first()
+    assert np.frombuffer(row["_docs"], np.int64).tolist() == [0, 1] and row["_null"]
+    assert np.frombuffer(row["_starts"], np.int64).tolist() == [0, 2, 3]
+    assert np.frombuffer(row["_part"]).tolist() == [0.25, 5 / 6, 0.5]
+    clauses = spark.createDataFrame([(7, "f", "a"), (8, "f", "a"), (8, "f", "b")], "query_id long, field string, term string")
+    terms = spark.createDataFrame([("f", "a", 100), ("f", "b", 10)], "field string, term string, df long")
+    assert blocksearch.expected_blocks(clauses, terms, 20) == 6  # 100 matches of the one, 10 of the phrase
+
+
+def test_a_text_is_analysed_once_for_all_fields(spark):
+    clauses = spark.createDataFrame(
+        [(1, 0, None, "running", 1.0), (1, 1, "title", "running", 2.0), (1, 2, "other", "running", 4.0), (1, 3, None, "x-y", 1.0)],
+        "query_id long, seq int, field string, text string, boost double",
+    )
+    tokens = search.clause_tokens(clauses, {"title": True, "content": True, "code": False})
+    plan = tokens._jdf.queryExecution().optimizedPlan().toString()
+    # The fields of a text are listed after it is cut into tokens and stemmed.
+    assert plan.index("Generate inline") < plan.index("ArrowEvalPython") < plan.index("collect_list")
+    got = {(r["field"], r["i"], r["term"]): (r["clause"], r["n_tokens"], r["weight"]) for r in tokens.collect()}
+    assert got[("title", 0, "run")] == (1, 1, 3.0) and got[("content", 0, "run")] == (2, 1, 1.0)
+    assert got[("code", 0, "running")] == (3, 1, 1.0) and got[("other", 0, "running")] == (6, 1, 4.0)
+    assert {k for k in got if k[2] in "xy"} == {(f, i, t) for f in ("title", "content", "code") for i, t in enumerate("xy")}
