@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siterank.operators.search import match_clauses, top_hits
 from siterank.operators.skew import salted_join
-from siterank.session import materialize
+from siterank.session import materialize, released_shuffles
 
 # Matches of clauses in a block of documents, and clauses in a block of queries.
 BLOCK_MATCHES = 1 << 20
@@ -61,7 +61,9 @@ def different_clauses(whole: DataFrame) -> tuple[DataFrame, DataFrame]:
 def expected_blocks(clauses: DataFrame, terms: DataFrame, rows: int) -> int:
     """Blocks that have about ``rows`` matches each; a phrase counts as the rarest of its tokens."""
     least = clauses.join(terms.select("field", "term", "df"), ["field", "term"]).groupBy("query_id").agg(F.min("df").alias("df"))
-    return max(1, -(-int(least.agg(F.sum("df")).first()[0] or 0) // rows))
+    with released_shuffles(clauses.sparkSession):
+        matches = least.agg(F.sum("df")).first()[0]
+    return max(1, -(-int(matches or 0) // rows))
 
 
 def document_blocks(matches: DataFrame, key: str, blocks: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siterank.operators import features, linkgraph, postings, selection
 from siterank.operators.skew import salted_join
 from siterank.schemas import DOC_KEYWORDS, IMPORTANCE_FEATURES, SEARCH_FIELDS
-from siterank.session import materialize
+from siterank.session import drop_table, materialize
 from siterank.sources import index as index_tables
 from siterank.sources.stats import write_index_stat
 from siterank.sources.tables import read_parquet
@@ -91,7 +91,8 @@ def index_crawl(
     and URL another run has indexed already are left out after the selection.
     """
     spark = crawl.sparkSession
-    crawl = crawl if stored else materialize(crawl)
+    kept = None if stored else materialize(crawl)
+    crawl = crawl if stored else kept
     chosen = select_pages(crawl, n, **options)
     if only_new:
         chosen = index_tables.not_indexed(chosen, index_path, run)
@@ -100,9 +101,12 @@ def index_crawl(
     docs = read_parquet(spark, index_tables.run_path(index_path, "search_docs", run), "doc_key")
     # Sorting by range reads its input twice: analyse the texts only once.
     rows = materialize(posting_rows(docs, link_texts(selected, crawl), stem))
+    if kept is not None:
+        drop_table(kept)
     index_tables.write_postings(rows, index_path, run)
     index_tables.write_stats(postings.term_stats(rows), index_path, "term_stats", run)
     index_tables.write_stats(postings.stored_field_stats(rows, docs), index_path, "field_stats", run)
+    drop_table(rows)
     write_index_stat(
         linkgraph.index_stat(selected), index_tables.run_path(index_path, "index_stat", run)
     )
